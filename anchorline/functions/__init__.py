@@ -2,6 +2,7 @@
 
 from .categories import normalize_categories, normalize_enum
 from .conversions import convert_units
+from .sets import in_list
 from .text import contains_any, lowered
 from .times import days, elapsed_seconds, hours, true_or_zero, within_days
 
@@ -11,6 +12,7 @@ __all__ = [
     "days",
     "elapsed_seconds",
     "hours",
+    "in_list",
     "lowered",
     "normalize_categories",
     "normalize_enum",

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .sets import in_list
 
 
 def normalize_enum(
-    value: Column, allowed: Sequence[str], other: str = fv.OTHER_CATEGORY
+    column: str, allowed: Sequence[str], other: str = fv.OTHER_CATEGORY
 ) -> Column:
-    """Upper-cased value when it belongs to ``allowed``, else ``other``.
+    """Upper-cased value of ``column`` when it belongs to ``allowed``, else ``other``.
 
     NULL gives ``other``.  Blanks and separators are left alone on purpose:
     ``"SELF PAY"`` is not ``"SELF_PAY"``.
     """
-    upper = F.upper(value)
-    return F.when(upper.isin(list(allowed)), upper).otherwise(F.lit(other))
+    return F.when(in_list(f"upper({column})", allowed), F.upper(column)).otherwise(other)
 
 
 def normalize_categories(
@@ -27,5 +27,5 @@ def normalize_categories(
 ) -> DataFrame:
     """Normalise every column named in ``vocabularies``; idempotent."""
     return df.withColumns(
-        {name: normalize_enum(F.col(name), words) for name, words in vocabularies.items()}
+        {name: normalize_enum(name, words) for name, words in vocabularies.items()}
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sets import in_list
 from .sizing import LOOKUP_ROWS, small_side
 
 
@@ -22,7 +23,7 @@ def bounded(
     ``known_items`` the item test reaches the scan as a literal IN.
     """
     if known_items is not None:
-        events = events.where(F.col(item).isin(list(known_items)))
+        events = events.where(in_list(item, known_items))
     limits = bounds.select(
         F.col("itemid").alias(item), F.col("min").alias("_min"), F.col("max").alias("_max")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_PARAMS, ExtractionParams
+from ..functions import in_list
 from ..operators import Anchor, shared_folder, staged, within_anchor
 from ..sources.metadata import Bounds
 from ..sources.tables import ClinicalTables
@@ -99,7 +100,7 @@ def chart_rows_in_window(
 ) -> DataFrame:
     """Error-free chart rows of the window that any feature or vital sign can use."""
     items = sorted({*CHART_FEATURE_ITEMS, *vital_bounds.items})
-    rows = chartevents.where(F.col("itemid").isin(items) & (F.col("error") == 0)).select(
+    rows = chartevents.where(in_list("itemid", items) & (F.col("error") == 0)).select(
         *VISIT_KEYS, "charttime", "itemid", "valuenum", "value", "error"
     )
     return within_anchor(rows, anchor, VISIT_KEYS, "charttime", window)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..config import DEFAULT_PARAMS
-from ..functions import contains_any, convert_units, lowered, true_or_zero
+from ..functions import contains_any, convert_units, in_list, lowered, true_or_zero
 from ..operators import Anchor, attach, exists_flag, first_value, within_anchor
 from ..operators.anchored import earliest_by
 from ..sources.tables import ClinicalTables
@@ -37,7 +37,7 @@ CHART_FEATURE_ITEMS = (
 
 def error_free(chart: DataFrame, items: list[int]) -> DataFrame:
     """Chart rows of the given items whose error mark is known to be 0."""
-    return chart.where(F.col("itemid").isin(items) & (F.col("error") == 0))
+    return chart.where(in_list("itemid", items) & (F.col("error") == 0))
 
 
 def _at(df: DataFrame, time: str, *columns: str | Column) -> DataFrame:
@@ -45,13 +45,11 @@ def _at(df: DataFrame, time: str, *columns: str | Column) -> DataFrame:
 
 
 def height_in_cm() -> Column:
-    return convert_units(
-        F.col("valuenum"), F.col("itemid"), {fv.CM_PER_INCH: fv.HEIGHT_INCH_ITEMS}
-    )
+    return convert_units("valuenum", "itemid", {fv.CM_PER_INCH: fv.HEIGHT_INCH_ITEMS})
 
 
 def weight_in_kg() -> Column:
-    return convert_units(F.col("valuenum"), F.col("itemid"), {fv.KG_PER_LB: fv.WEIGHT_LB_ITEMS})
+    return convert_units("valuenum", "itemid", {fv.KG_PER_LB: fv.WEIGHT_LB_ITEMS})
 
 
 def shows_ventilation() -> Column:
@@ -59,9 +57,9 @@ def shows_ventilation() -> Column:
 
     A missing text reads as empty, so it does not say "other" and counts.
     """
-    item, text = F.col("itemid"), lowered(F.col("value"))
+    item, text = F.col("itemid"), lowered("value")
     return (
-        item.isin(VENT_ITEMS)
+        in_list("itemid", VENT_ITEMS)
         | ((item == fv.OXYGEN_DEVICE_VENTILATOR_ITEM) & text.contains(fv.VENTILATOR_TEXT))
         | ((item == fv.OXYGEN_DEVICE_NOT_OTHER_ITEM) & ~text.contains(fv.OTHER_DEVICE_TEXT))
     )
@@ -84,19 +82,19 @@ def ventilation_events(chart: DataFrame) -> DataFrame:
 
 def input_events(cv: DataFrame, mv: DataFrame, items: list[int]) -> DataFrame:
     """Infusions of the given items from both charting systems, one time column."""
-    listed = F.col("itemid").isin(items)
+    listed = in_list("itemid", items)
     return _at(cv.where(listed), "charttime", "itemid").unionByName(
         _at(mv.where(listed), "starttime", "itemid")
     )
 
 
 def antibiotic_orders(prescriptions: DataFrame) -> DataFrame:
-    rows = prescriptions.where(contains_any(F.col("drug"), fv.ANTIBIOTIC_KEYWORDS))
+    rows = prescriptions.where(contains_any("drug", fv.ANTIBIOTIC_KEYWORDS))
     return _at(rows, "startdate")
 
 
 def rrt_events(procedures: DataFrame, chart: DataFrame) -> DataFrame:
-    by_procedure = procedures.where(F.col("itemid").isin(fv.RRT_PROCEDURE_ITEMS))
+    by_procedure = procedures.where(in_list("itemid", fv.RRT_PROCEDURE_ITEMS))
     return _at(by_procedure, "starttime").unionByName(
         _at(error_free(chart, fv.RRT_CHART_ITEMS), "charttime")
     )
@@ -104,7 +102,7 @@ def rrt_events(procedures: DataFrame, chart: DataFrame) -> DataFrame:
 
 def positive_cultures(micro: DataFrame) -> DataFrame:
     rows = micro.where(
-        contains_any(F.col("spec_type_desc"), [fv.BLOOD_CULTURE_TEXT])
+        contains_any("spec_type_desc", [fv.BLOOD_CULTURE_TEXT])
         & F.col("org_name").isNotNull()
     )
     return _at(rows, "charttime")
@@ -229,31 +227,33 @@ def _signals(events: DataFrame, kind: Column, *, item=None, valuenum=None, readi
 
 def chart_signals(chart: DataFrame) -> DataFrame:
     """Heights, weights, ventilation and RRT rows from one read of the chart table."""
-    item, value = F.col("itemid"), F.col("valuenum")
+    measured = F.col("valuenum").isNotNull()
     kind = (
-        F.when(item.isin(HEIGHT_ITEMS) & value.isNotNull(), _signal(HEIGHT))
-        .when(item.isin(WEIGHT_ITEMS) & value.isNotNull(), _signal(WEIGHT))
-        .when(item.isin(fv.RRT_CHART_ITEMS), _signal(RRT))
+        F.when(in_list("itemid", HEIGHT_ITEMS) & measured, _signal(HEIGHT))
+        .when(in_list("itemid", WEIGHT_ITEMS) & measured, _signal(WEIGHT))
+        .when(in_list("itemid", fv.RRT_CHART_ITEMS), _signal(RRT))
         .when(shows_ventilation(), _signal(VENTILATED))
     )
     reading = convert_units(
-        value,
-        item,
+        "valuenum",
+        "itemid",
         {fv.CM_PER_INCH: fv.HEIGHT_INCH_ITEMS, fv.KG_PER_LB: fv.WEIGHT_LB_ITEMS},
     )
     rows = error_free(chart, CHART_FEATURE_ITEMS).withColumnRenamed("charttime", "event_time")
-    return _signals(rows, kind, item=item, valuenum=value, reading=reading)
+    return _signals(
+        rows, kind, item=F.col("itemid"), valuenum=F.col("valuenum"), reading=reading
+    )
 
 
 def treatment_signals(tables: ClinicalTables) -> DataFrame:
     """Events of every source but the chart table."""
-    infused = F.when(F.col("itemid").isin(fv.VASOPRESSOR_ITEMS), _signal(VASOPRESSOR)).otherwise(
-        _signal(SEDATION)
-    )
+    infused = F.when(
+        in_list("itemid", fv.VASOPRESSOR_ITEMS), _signal(VASOPRESSOR)
+    ).otherwise(_signal(SEDATION))
     infusions = input_events(
         tables.inputevents_cv, tables.inputevents_mv, fv.VASOPRESSOR_ITEMS + fv.SEDATION_ITEMS
     )
-    procedures = tables.procedureevents_mv.where(F.col("itemid").isin(fv.RRT_PROCEDURE_ITEMS))
+    procedures = tables.procedureevents_mv.where(in_list("itemid", fv.RRT_PROCEDURE_ITEMS))
     parts = [
         _signals(infusions, infused),
         _signals(antibiotic_orders(tables.prescriptions), _signal(ANTIBIOTIC)),

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators.sizing import LOOKUP_ROWS
 
-BOUNDS_SCHEMA = "itemid bigint, min double, max double"
-
 
 def load_subjects(spark: SparkSession, path: str) -> DataFrame:
     """The ``subject_id`` column of a header CSV, duplicates kept."""
@@ -33,8 +31,10 @@ class Bounds:
 
     @classmethod
     def from_rows(cls, spark: SparkSession, rows: Iterable[tuple[int, float, float]]) -> "Bounds":
-        rows = list(rows)
-        frame = spark.createDataFrame(rows, BOUNDS_SCHEMA)
+        rows = [(int(item), float(low), float(high)) for item, low, high in rows]
+        # a literal relation: its size is known to the planner
+        values = ", ".join(f"({item}L, {low!r}D, {high!r}D)" for item, low, high in rows)
+        frame = spark.sql(f"SELECT * FROM VALUES {values} AS bounds(itemid, min, max)")
         small = len(rows) <= LOOKUP_ROWS
         return cls(frame, tuple(sorted({r[0] for r in rows})) if small else None)
 

@@ -7,177 +7,215 @@ window edges, error marks and unknown items.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from .tables import ClinicalTables
 
 INFUSION_ITEMS = [221906, 30047, 222168, 30131, 221289, 221668, 999, 998]
+CHART_ITEMS = [
+    211, 51, 920, 3485, 762, 3581, 467, 223848, 223849, 60,
+    152, 8368, 456, 618, 646, 807, 223762, 676, 223761, 999,
+]
+LAB_ITEMS = [
+    50868, 50862, 50882, 50885, 50912, 50902, 50931, 51221, 51222, 50813, 50960,
+    50970, 51265, 50971, 51275, 51237, 51274, 50983, 51006, 51301, 999,
+]
+PROCEDURE_ITEMS = [225802, 225803, 225441, 999]
+VISIT = ["o_custkey AS subject_id", "l_orderkey AS hadm_id"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list, index: str) -> Column:
-    choices = F.array(*[F.lit(v) for v in values])
-    return F.element_at(choices, F.expr(f"CAST({index} AS INT)") + 1)
+def _pick(values: list, index: str, name: str) -> str:
+    """The value at ``index`` of a constant array."""
+    items = ", ".join(
+        "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values
+    )
+    return f"element_at(array({items}), CAST({index} AS INT) + 1) AS {name}"
 
 
-def _plus_hours(time: str, amount: str) -> Column:
-    return F.col(time) + F.expr(f"make_dt_interval(0, CAST({amount} AS INT))")
+def _hours_after(time: str, amount: str, name: str) -> str:
+    return f"{time} + make_dt_interval(0, CAST({amount} AS INT)) AS {name}"
 
 
-def _plus_days(time: Column, amount: str) -> Column:
-    return time + F.expr(f"make_dt_interval(CAST({amount} AS INT))")
+def _event_time(amount: str, name: str = "charttime") -> str:
+    return _hours_after("o_orderdate", f"({amount}) % 72 - 6", name)
 
 
-def admissions(orders: DataFrame) -> DataFrame:
-    key, customer = "o_orderkey", "o_custkey"
-    kind = (
-        F.when(F.expr(f"{key} % 17 = 0"), F.lit(None))
-        .when(F.col("o_orderpriority") == "1-URGENT", "urgent")
-        .when(F.col("o_orderpriority") == "2-HIGH", "EMERGENCY")
-        .when(F.col("o_orderpriority") == "5-LOW", "Elective")
-        .otherwise(F.col("o_orderpriority"))
-    )
-    return orders.select(
-        F.col(customer).alias("subject_id"),
-        F.col(key).alias("hadm_id"),
-        F.col("o_orderdate").alias("admittime"),
-        _plus_hours("o_orderdate", f"({key} * 37) % 400").alias("dischtime"),
-        kind.alias("admission_type"),
+def _admissions(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
+        "o_custkey AS subject_id",
+        "o_orderkey AS hadm_id",
+        "o_orderdate AS admittime",
+        _hours_after("o_orderdate", "(o_orderkey * 37) % 400", "dischtime"),
+        """CASE WHEN o_orderkey % 17 = 0 THEN NULL
+                WHEN o_orderpriority = '1-URGENT' THEN 'urgent'
+                WHEN o_orderpriority = '2-HIGH' THEN 'EMERGENCY'
+                WHEN o_orderpriority = '5-LOW' THEN 'Elective'
+                ELSE o_orderpriority END AS admission_type""",
         _pick(
             [
                 "EMERGENCY ROOM ADMIT", "clinic referral/premature",
                 "TRANSFER FROM HOSP/EXTRAM", " PHYS REFERRAL/NORMAL DELI", None, "UNMAPPED WING",
             ],
-            f"{key} % 6",
-        ).alias("admission_location"),
+            "o_orderkey % 6",
+            "admission_location",
+        ),
         _pick(
             ["Medicare", "PRIVATE", "medicaid", "Self Pay", "SELF_PAY", None],
-            f"({key} + {customer}) % 6",
-        ).alias("insurance"),
-        _pick(["ENGL", "span", "*URD", None, "RUSS"], f"{customer} % 5").alias("language"),
+            "(o_orderkey + o_custkey) % 6",
+            "insurance",
+        ),
+        _pick(["ENGL", "span", "*URD", None, "RUSS"], "o_custkey % 5", "language"),
         _pick(
             ["CATHOLIC", "Not_Specified", "NOT SPECIFIED", "OTHER", "jewish", None, "BUDDHIST"],
-            f"{key} % 7",
-        ).alias("religion"),
+            "o_orderkey % 7",
+            "religion",
+        ),
         _pick(
-            ["MARRIED", "single", "WIDOWED", "LIFE PARTNER", None], f"({customer} * 3) % 5"
-        ).alias("marital_status"),
+            ["MARRIED", "single", "WIDOWED", "LIFE PARTNER", None],
+            "(o_custkey * 3) % 5",
+            "marital_status",
+        ),
         _pick(
             [
                 "WHITE", "black_african_american", "ASIAN - CHINESE", "ASIAN_CHINESE",
                 "OTHER", None, "HISPANIC_OR_LATINO",
             ],
-            f"({key} * 5) % 7",
-        ).alias("ethnicity"),
-        F.when(F.expr(f"{key} % 4 <> 0"), _plus_hours("o_orderdate", "-1")).alias("edregtime"),
-        F.when(F.expr(f"{key} % 11 = 0"), 0).otherwise(1).alias("has_chartevents_data"),
+            "(o_orderkey * 5) % 7",
+            "ethnicity",
+        ),
+        "CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate - INTERVAL '1' HOUR END AS edregtime",
+        "CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS has_chartevents_data",
     )
 
 
-def patients(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    first_order = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.min("o_orderdate").alias("t0")
-    )
-    born = F.lit("1905-01-01 00:00:00").cast("timestamp_ntz")
-    return customer.join(first_order, "c_custkey", "left").select(
-        F.col("c_custkey").alias("subject_id"),
-        F.col("c_mktsegment").alias("gender"),
-        _plus_days(born, "(c_custkey * 211) % 33000").alias("dob"),
-        F.when(
-            F.expr("c_custkey % 3 = 0"), _plus_days(F.col("t0"), "(c_custkey * 17) % 60")
-        ).alias("dod"),
+def _patients(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    first_order = orders.groupBy("o_custkey").agg({"o_orderdate": "min"})
+    return customer.join(
+        first_order.toDF("c_custkey", "t0"), "c_custkey", "left"
+    ).selectExpr(
+        "c_custkey AS subject_id",
+        "c_mktsegment AS gender",
+        "TIMESTAMP_NTZ '1905-01-01 00:00:00'"
+        " + make_dt_interval(CAST((c_custkey * 211) % 33000 AS INT)) AS dob",
+        "CASE WHEN c_custkey % 3 = 0"
+        " THEN t0 + make_dt_interval(CAST((c_custkey * 17) % 60 AS INT)) END AS dod",
     )
 
 
-def icustays(orders: DataFrame) -> DataFrame:
-    stay = F.col("o_orderkey").alias("hadm_id")
-    first = orders.where("o_orderkey % 3 <> 0").select(
-        stay, _plus_hours("o_orderdate", "(o_orderkey * 29) % 90 - 6").alias("intime")
+def _icustays(orders: DataFrame) -> DataFrame:
+    first = orders.where("o_orderkey % 3 <> 0").selectExpr(
+        "o_orderkey AS hadm_id", _hours_after("o_orderdate", "(o_orderkey * 29) % 90 - 6", "intime")
     )
-    second = orders.where("o_orderkey % 6 = 1").select(
-        stay, _plus_hours("o_orderdate", "(o_orderkey * 31) % 90").alias("intime")
+    second = orders.where("o_orderkey % 6 = 1").selectExpr(
+        "o_orderkey AS hadm_id", _hours_after("o_orderdate", "(o_orderkey * 31) % 90", "intime")
     )
     return first.unionByName(second)
 
 
-def clinical_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
-    orders = read_table(spark, sf_dir, "orders")
-    lines = read_table(spark, sf_dir, "lineitem").join(
-        orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"),
-        "l_orderkey",
-    )
-    visit = [F.col("o_custkey").alias("subject_id"), F.col("l_orderkey").alias("hadm_id")]
-
-    def at(amount: str, name: str = "charttime") -> Column:
-        return _plus_hours("o_orderdate", f"({amount}) % 72 - 6").alias(name)
-
-    chart_items = [
-        211, 51, 920, 3485, 762, 3581, 467, 223848, 223849, 60,
-        152, 8368, 456, 618, 646, 807, 223762, 676, 223761, 999,
-    ]
-    lab_items = [
-        50868, 50862, 50882, 50885, 50912, 50902, 50931, 51221, 51222, 50813, 50960,
-        50970, 51265, 50971, 51275, 51237, 51274, 50983, 51006, 51301, 999,
-    ]
-    drugs = [
-        "Vancomycin", "ZOSYN 4.5g", "Piperacillin/Tazobactam", "Aspirin",
-        None, "Heparin", "cefepime HCl", "Insulin",
-    ]
-    measured = F.col("l_linenumber") != 7
-    return ClinicalTables(
-        admissions=admissions(orders),
-        patients=patients(read_table(spark, sf_dir, "customer"), orders),
-        icustays=icustays(orders),
-        chartevents=lines.select(
-            *visit,
-            at("l_partkey * 7 + l_linenumber * 13"),
-            _pick(chart_items, "(l_partkey + l_suppkey) % 20").alias("itemid"),
-            F.when(measured, F.col("l_quantity") * 3).alias("valuenum"),
-            _pick(["Ventilator", "Other", "None", None], "l_partkey % 4").alias("value"),
-            F.when(F.col("l_returnflag") == "A", 1)
-            .when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), F.lit(None))
-            .otherwise(0)
-            .alias("error"),
-        ),
-        inputevents_cv=lines.where("l_linenumber % 2 = 1").select(
-            *visit, at("l_partkey * 3"), _pick(INFUSION_ITEMS, "l_partkey % 8").alias("itemid")
-        ),
-        inputevents_mv=lines.where("l_linenumber % 2 = 0").select(
-            *visit,
-            at("l_partkey * 5", "starttime"),
-            _pick(INFUSION_ITEMS, "(l_partkey + 3) % 8").alias("itemid"),
-        ),
-        prescriptions=lines.select(
-            *visit,
-            at("l_partkey * 13", "startdate"),
-            _pick(drugs, "l_suppkey % 8").alias("drug"),
-        ),
-        procedureevents_mv=lines.where("l_linenumber = 3").select(
-            *visit,
-            at("l_partkey * 17", "starttime"),
-            _pick([225802, 225803, 225441, 999], "l_partkey % 4").alias("itemid"),
-        ),
-        microbiologyevents=lines.select(
-            *visit,
+# Event tables: the rows of line items they take, and their columns.
+_EVENTS = {
+    "chartevents": (
+        "true",
+        [
+            _event_time("l_partkey * 7 + l_linenumber * 13"),
+            _pick(CHART_ITEMS, "(l_partkey + l_suppkey) % 20", "itemid"),
+            "CASE WHEN l_linenumber <> 7 THEN l_quantity * 3 END AS valuenum",
+            _pick(["Ventilator", "Other", "None", None], "l_partkey % 4", "value"),
+            """CASE WHEN l_returnflag = 'A' THEN 1
+                    WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN NULL
+                    ELSE 0 END AS error""",
+        ],
+    ),
+    "inputevents_cv": (
+        "l_linenumber % 2 = 1",
+        [_event_time("l_partkey * 3"), _pick(INFUSION_ITEMS, "l_partkey % 8", "itemid")],
+    ),
+    "inputevents_mv": (
+        "l_linenumber % 2 = 0",
+        [
+            _event_time("l_partkey * 5", "starttime"),
+            _pick(INFUSION_ITEMS, "(l_partkey + 3) % 8", "itemid"),
+        ],
+    ),
+    "prescriptions": (
+        "true",
+        [
+            _event_time("l_partkey * 13", "startdate"),
             _pick(
-                ["Blood Culture", "BLOOD CULTURE (MYCO)", "URINE", None], "l_partkey % 4"
-            ).alias("spec_type_desc"),
-            _pick(["E. coli", None, "STAPH"], "l_suppkey % 3").alias("org_name"),
-            at("l_partkey * 19"),
-        ),
-        labevents=lines.select(
-            *visit,
-            at("l_partkey * 11 + l_linenumber * 5"),
-            _pick(lab_items, "(l_partkey + l_suppkey) % 21").alias("itemid"),
-            F.when(measured, F.col("l_quantity")).alias("valuenum"),
-        ),
-    )
+                [
+                    "Vancomycin", "ZOSYN 4.5g", "Piperacillin/Tazobactam", "Aspirin",
+                    None, "Heparin", "cefepime HCl", "Insulin",
+                ],
+                "l_suppkey % 8",
+                "drug",
+            ),
+        ],
+    ),
+    "procedureevents_mv": (
+        "l_linenumber = 3",
+        [
+            _event_time("l_partkey * 17", "starttime"),
+            _pick(PROCEDURE_ITEMS, "l_partkey % 4", "itemid"),
+        ],
+    ),
+    "microbiologyevents": (
+        "true",
+        [
+            _pick(
+                ["Blood Culture", "BLOOD CULTURE (MYCO)", "URINE", None],
+                "l_partkey % 4",
+                "spec_type_desc",
+            ),
+            _pick(["E. coli", None, "STAPH"], "l_suppkey % 3", "org_name"),
+            _event_time("l_partkey * 19"),
+        ],
+    ),
+    "labevents": (
+        "true",
+        [
+            _event_time("l_partkey * 11 + l_linenumber * 5"),
+            _pick(LAB_ITEMS, "(l_partkey + l_suppkey) % 21", "itemid"),
+            "CASE WHEN l_linenumber <> 7 THEN l_quantity END AS valuenum",
+        ],
+    ),
+}
+
+
+def clinical_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
+    opened: dict[str, DataFrame] = {}
+
+    def once(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in opened:
+            opened[name] = build()
+        return opened[name]
+
+    def source(name: str) -> DataFrame:
+        return once(name, lambda: read_table(spark, sf_dir, name))
+
+    def lines() -> DataFrame:
+        """Line items with the customer and date of their order."""
+        orders = source("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey", "o_orderdate")
+        return source("lineitem").join(orders, "l_orderkey")
+
+    def open_table(name: str) -> DataFrame:
+        if name == "admissions":
+            return _admissions(source("orders"))
+        if name == "patients":
+            return _patients(source("customer"), source("orders"))
+        if name == "icustays":
+            return _icustays(source("orders"))
+        rows, columns = _EVENTS[name]
+        return once("lines", lines).where(rows).selectExpr(*VISIT, *columns)
+
+    return ClinicalTables(open_table)
 
 
 def subject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer is a requested subject."""
-    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"))
+    return read_table(spark, sf_dir, "customer").selectExpr("c_custkey AS subject_id")

@@ -2,56 +2,57 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .schemas import SOURCE_SCHEMAS
 
 
-@dataclass(frozen=True)
 class ClinicalTables:
-    admissions: DataFrame
-    patients: DataFrame
-    icustays: DataFrame
-    chartevents: DataFrame
-    inputevents_cv: DataFrame
-    inputevents_mv: DataFrame
-    prescriptions: DataFrame
-    procedureevents_mv: DataFrame
-    microbiologyevents: DataFrame
-    labevents: DataFrame
+    """Gives each table as an attribute; a table is opened when first asked for."""
+
+    def __init__(self, open_table: Callable[[str], DataFrame]):
+        self._open_table = open_table
+        self._opened: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SOURCE_SCHEMAS:
+            raise AttributeError(name)
+        if name not in self._opened:
+            self._opened[name] = self._open_table(name)
+        return self._opened[name]
 
     @classmethod
-    def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+    def from_frames(cls, **frames: DataFrame) -> "ClinicalTables":
+        return cls(frames.__getitem__)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "ClinicalTables":
         """``{root}/{table}.parquet`` (file or directory), read with declared schemas."""
         return cls(
-            **{
-                name: spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
-                for name in cls.names()
-            }
+            lambda name: spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
         )
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, root: str, pattern: str = "{name}.csv") -> "ClinicalTables":
-        """Header CSV exports; columns are taken by name, order and extras do not matter."""
-        bundle = {}
-        for name in cls.names():
-            raw = spark.read.option("header", True).csv(f"{root}/{pattern.format(name=name)}")
-            by_lower = {column.lower(): column for column in raw.columns}
-            bundle[name] = raw.select(
+    def from_csv(cls, spark: SparkSession, root: str) -> "ClinicalTables":
+        """``{root}/{table}.csv`` with header; columns are taken by name, ignoring case.
+
+        Column order and extra columns do not matter.
+        """
+
+        def open_table(name: str) -> DataFrame:
+            raw = spark.read.option("header", True).csv(f"{root}/{name}.csv")
+            return raw.select(
                 *[
-                    raw[by_lower[field.name]].cast(field.dataType).alias(field.name)
+                    raw[field.name].cast(field.dataType).alias(field.name)
                     for field in SOURCE_SCHEMAS[name].fields
                 ]
             )
-        return cls(**bundle)
+
+        return cls(open_table)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> "ClinicalTables":
         """Tables of a catalog database; bucketed or partitioned layouts keep their benefits."""
-        return cls(**{name: spark.table(f"{database}.{name}") for name in cls.names()})
+        return cls(lambda name: spark.table(f"{database}.{name}"))
