@@ -1,8 +1,7 @@
 """Outcome probabilities for new subjects.
 
-The reference interface is only declared there (subject list in, one
-probability per label out); models are the caller's.  This is the Spark side
-of that contract: any ``pyspark.ml`` transformer per label.
+The contract is a subject list in and one probability per label out; the
+models are the caller's: any ``pyspark.ml`` transformer per label.
 """
 
 from __future__ import annotations
@@ -33,7 +32,9 @@ def _positive_class(scored: DataFrame) -> Column:
 def score_subjects(features: DataFrame, models: Mapping[str, Transformer]) -> DataFrame:
     """Apply one fitted model per label to the extracted cohort features.
 
-    Each model reads cohort columns and writes ``probability``.
+    Each model reads cohort columns and writes ``probability``.  Pass models that
+    were saved and loaded: a freshly fitted one may carry its training summary,
+    and with it the session, into every task.
     """
     scored = features
     for label, name in PROBABILITY_COLUMNS.items():

@@ -1,0 +1,114 @@
+"""A third of all rows on one key: what the plans do about it."""
+
+import pytest
+
+from anchorline.operators import Anchor, first_with_next, next_in_key, within_anchor
+from anchorline.plans import features as f
+from pyspark.sql import functions as F
+
+
+def final_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.fixture()
+def skew_settings(spark):
+    """Thresholds small enough for a test-sized hot key; no broadcast at all."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def admitted(visit):
+    """Every visit has its own admission day."""
+    start = F.expr("TIMESTAMP_NTZ '2100-01-01'")
+    return start + F.make_dt_interval((visit % 50).cast("int"))
+
+
+@pytest.fixture()
+def hot_events(spark):
+    """60,000 events of 2,000 visits, a third of them on visit 7."""
+    rows = spark.range(0, 60_000, numPartitions=16)
+    visit = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2000)
+    return rows.select(
+        (visit + 10_000).cast("int").alias("subject_id"),
+        visit.cast("int").alias("hadm_id"),
+        (admitted(visit) + F.expr("make_dt_interval(0, CAST(id % 60 AS INT))")).alias("event_time"),
+        F.xxhash64("id").alias("value"),
+    )
+
+
+@pytest.fixture()
+def visits(spark):
+    return spark.range(2000).select(
+        (F.col("id") + 10_000).cast("int").alias("subject_id"),
+        F.col("id").cast("int").alias("hadm_id"),
+        admitted(F.col("id")).alias("admittime"),
+    )
+
+
+def test_hot_visit_is_split_in_the_shuffled_join(spark, skew_settings, hot_events, visits):
+    found = within_anchor(hot_events, Anchor(visits), f.VISIT_KEYS, "event_time", 48)
+    per_visit = found.groupBy("hadm_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("value").alias("top")
+    )
+    counts = {row.hadm_id: row.n for row in per_visit.collect()}
+    plan = final_plan(per_visit)
+    assert "SortMergeJoin(skew=true)" in plan
+    # still whole: ids are spread evenly over 60 hours, 49 of which are in the window
+    assert sum(counts.values()) == 49 * 1000
+    assert counts[7] == max(counts.values())
+
+
+def test_counted_anchor_is_broadcast_and_events_stay_put(spark, hot_events, visits):
+    found = within_anchor(hot_events, Anchor(visits, max_rows=2000), f.VISIT_KEYS, "event_time", 48)
+    found.collect()
+    plan = final_plan(found)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_unbounded_anchor_gets_no_hint(spark, skew_settings, hot_events, visits):
+    for bound in (None, 10**9):
+        found = within_anchor(
+            hot_events, Anchor(visits, max_rows=bound), f.VISIT_KEYS, "event_time", 48
+        )
+        found.collect()
+        assert "Broadcast" not in final_plan(found)
+
+
+def test_hot_subject_is_cut_before_the_shuffle(spark, hot_events):
+    first = first_with_next(hot_events, "hadm_id", "event_time", ["value"], "after")
+    first.collect()
+    plan = final_plan(first)
+    below_shuffle = plan[plan.index("Exchange hashpartitioning") :]
+    assert "WindowGroupLimit" in below_shuffle and "Partial" in below_shuffle
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_next_in_key_never_windows_a_whole_key(spark, hot_events):
+    chained = next_in_key(hot_events, "hadm_id", "event_time", "value", "after")
+    chained.collect()
+    windows = [line for line in final_plan(chained).splitlines() if "Window [" in line]
+    assert windows
+    for line in windows:
+        # either instants inside one day of a key, or the day heads of a key
+        assert "_day" in line
+
+
+def test_flags_are_combined_before_the_shuffle(spark, hot_events, visits):
+    found = within_anchor(hot_events, Anchor(visits, max_rows=2000), f.VISIT_KEYS, "event_time", 48)
+    seen = found.select("hadm_id").distinct()
+    seen.collect()
+    plan = final_plan(seen)
+    assert "HashAggregate" in plan[plan.index("Exchange hashpartitioning") :]
