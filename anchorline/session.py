@@ -16,6 +16,9 @@ PLAN_SETTINGS = {
     # item-code lists hold up to ~60 values; push them as a real IN so that
     # dictionaries and bloom filters can drop row groups, not only min/max
     "spark.sql.parquet.pushdown.inFilterThreshold": "128",
+    # no call-site capture on every column expression: building a wide plan
+    # takes a third of the driver calls
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

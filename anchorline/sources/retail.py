@@ -26,8 +26,22 @@ PROCEDURE_ITEMS = [225802, 225803, 225441, 999]
 VISIT = ["o_custkey AS subject_id", "l_orderkey AS hadm_id"]
 
 
+# Declared, so that opening a table starts no job to look into its files.
+RETAIL_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+    "c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(RETAIL_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list, index: str, name: str) -> str:
@@ -39,7 +53,7 @@ def _pick(values: list, index: str, name: str) -> str:
 
 
 def _hours_after(time: str, amount: str, name: str) -> str:
-    return f"{time} + make_dt_interval(0, CAST({amount} AS INT)) AS {name}"
+    return f"{time} + INTERVAL '1' HOUR * CAST({amount} AS INT) AS {name}"
 
 
 def _event_time(amount: str, name: str = "charttime") -> str:
@@ -102,9 +116,9 @@ def _patients(customer: DataFrame, orders: DataFrame) -> DataFrame:
         "c_custkey AS subject_id",
         "c_mktsegment AS gender",
         "TIMESTAMP_NTZ '1905-01-01 00:00:00'"
-        " + make_dt_interval(CAST((c_custkey * 211) % 33000 AS INT)) AS dob",
+        " + INTERVAL '1' DAY * CAST((c_custkey * 211) % 33000 AS INT) AS dob",
         "CASE WHEN c_custkey % 3 = 0"
-        " THEN t0 + make_dt_interval(CAST((c_custkey * 17) % 60 AS INT)) END AS dod",
+        " THEN t0 + INTERVAL '1' DAY * CAST((c_custkey * 17) % 60 AS INT) END AS dod",
     )
 
 

@@ -4,11 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .schemas import SOURCE_SCHEMAS
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns of ``df`` by name (any case, any order) and type.
+
+    A column that already fits is passed through untouched, so that filters
+    still reach the files.  Integer columns of another width fit: wide ids stay
+    wide.  Anything else is cast.
+    """
+    stored = {name.lower(): kind for name, kind in ((f.name, f.dataType) for f in df.schema)}
+
+    def column(field: T.StructField) -> Column:
+        kind = stored.get(field.name)
+        fits = kind == field.dataType or (
+            isinstance(kind, T.IntegralType) and isinstance(field.dataType, T.IntegralType)
+        )
+        source = df[field.name]
+        return (source if fits else source.cast(field.dataType)).alias(field.name)
+
+    return df.select(*[column(field) for field in schema.fields])
+
+
 class ClinicalTables:
     """Gives each table as an attribute; a table is opened when first asked for."""
 
@@ -24,35 +45,22 @@ class ClinicalTables:
         return self._opened[name]
 
     @classmethod
-    def from_frames(cls, **frames: DataFrame) -> "ClinicalTables":
-        return cls(frames.__getitem__)
+    def conformed(cls, open_table: Callable[[str], DataFrame]) -> "ClinicalTables":
+        return cls(lambda name: conform(open_table(name), SOURCE_SCHEMAS[name]))
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "ClinicalTables":
-        """``{root}/{table}.parquet`` (file or directory), read with declared schemas."""
-        return cls(
-            lambda name: spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
-        )
+        """``{root}/{table}.parquet``, a file or a directory each."""
+        return cls.conformed(lambda name: spark.read.parquet(f"{root}/{name}.parquet"))
 
     @classmethod
     def from_csv(cls, spark: SparkSession, root: str) -> "ClinicalTables":
-        """``{root}/{table}.csv`` with header; columns are taken by name, ignoring case.
-
-        Column order and extra columns do not matter.
-        """
-
-        def open_table(name: str) -> DataFrame:
-            raw = spark.read.option("header", True).csv(f"{root}/{name}.csv")
-            return raw.select(
-                *[
-                    raw[field.name].cast(field.dataType).alias(field.name)
-                    for field in SOURCE_SCHEMAS[name].fields
-                ]
-            )
-
-        return cls(open_table)
+        """``{root}/{table}.csv`` with a header line."""
+        return cls.conformed(
+            lambda name: spark.read.option("header", True).csv(f"{root}/{name}.csv")
+        )
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> "ClinicalTables":
-        """Tables of a catalog database; bucketed or partitioned layouts keep their benefits."""
-        return cls(lambda name: spark.table(f"{database}.{name}"))
+        """Tables of a catalog database."""
+        return cls.conformed(lambda name: spark.table(f"{database}.{name}"))
