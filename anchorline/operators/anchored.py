@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import hours, true_or_zero
-from .sizing import small_side
+from .sizing import fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -32,13 +32,16 @@ def within_anchor(
 
     Both ends are inclusive; an event without a time is dropped.  With a small
     counted anchor the events are never shuffled (broadcast hash join, window
-    as residual).  Otherwise both sides are shuffled on the visit key; the
-    anchor is unique there, so AQE may cut a hot visit into as many pieces as
-    it needs.
+    as residual).  Otherwise both sides are shuffled on the visit key and the
+    anchor's part of each partition is hashed: its keys are unique and narrow,
+    so the parts are even and small, the events need no sort, and AQE may cut a
+    hot visit's events into as many pieces as it needs.
     """
-    opened = small_side(
-        anchor.visits.select(*on, F.col(anchor.start).alias("_start")), anchor.max_rows
-    )
+    opened = anchor.visits.select(*on, F.col(anchor.start).alias("_start"))
+    if fits_broadcast(anchor.max_rows):
+        opened = F.broadcast(opened)
+    else:
+        opened = opened.hint("shuffle_hash")
     return (
         events.join(opened, list(on))
         .where(F.col(time).between(F.col("_start"), F.col("_start") + hours(window_hours)))

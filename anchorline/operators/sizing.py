@@ -18,6 +18,11 @@ BROADCAST_ROWS = 500_000
 LOOKUP_ROWS = 10_000
 
 
+def fits_broadcast(max_rows: int | None, limit: int = BROADCAST_ROWS) -> bool:
+    """Is there a proven bound, and does it fit?"""
+    return max_rows is not None and max_rows <= limit
+
+
 def small_side(df: DataFrame, max_rows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when its proven bound ``max_rows`` fits ``limit``."""
-    return F.broadcast(df) if max_rows is not None and max_rows <= limit else df
+    return F.broadcast(df) if fits_broadcast(max_rows, limit) else df

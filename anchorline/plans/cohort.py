@@ -14,9 +14,8 @@ from ..operators import (
     first_with_next,
     kept_rows,
     members_of,
-    small_side,
 )
-from ..operators.sizing import BROADCAST_ROWS
+from ..operators.sizing import fits_broadcast
 from ..sources.schemas import BASE_COLUMNS, COHORT_COLUMNS, TARGET_COLUMNS
 
 _PATIENT_COLUMNS = ["subject_id", "gender", "dob", "dod"]
@@ -69,7 +68,7 @@ def index_admissions(
     partitioning that the first-row step has already made.
     """
     visits = admissions.select(*_ADMISSION_COLUMNS)
-    short = subjects is not None and max_subjects is not None and max_subjects <= BROADCAST_ROWS
+    short = subjects is not None and fits_broadcast(max_subjects)
     if short:
         visits = members_of(visits, subjects, "subject_id", max_subjects)
     # a missing subject id joins no patient; drop it before it forms a group
