@@ -24,6 +24,11 @@ class Anchor:
     start: str = "admittime"
     max_rows: int | None = None
 
+    @classmethod
+    def counted(cls, visits: DataFrame, start: str = "admittime") -> "Anchor":
+        """An anchor whose rows are counted now; worth it for a stored table."""
+        return cls(visits, start, visits.count())
+
 
 def within_anchor(
     events: DataFrame, anchor: Anchor, on: Sequence[str], time: str, window_hours: int
@@ -32,15 +37,16 @@ def within_anchor(
 
     Both ends are inclusive; an event without a time is dropped.  With a small
     counted anchor the events are never shuffled (broadcast hash join, window
-    as residual).  Otherwise both sides are shuffled on the visit key and the
-    anchor's part of each partition is hashed: its keys are unique and narrow,
-    so the parts are even and small, the events need no sort, and AQE may cut a
-    hot visit's events into as many pieces as it needs.
+    as residual).  With a large one both sides are shuffled on the visit key
+    and the anchor's part of each partition is hashed: its keys are unique and
+    narrow, so the parts are even and small, and the events need no sort.  An
+    uncounted anchor is left to Spark's own statistics.  In both shuffled forms
+    AQE may cut a hot visit's events into as many pieces as it needs.
     """
     opened = anchor.visits.select(*on, F.col(anchor.start).alias("_start"))
     if fits_broadcast(anchor.max_rows):
         opened = F.broadcast(opened)
-    else:
+    elif anchor.max_rows is not None:
         opened = opened.hint("shuffle_hash")
     return (
         events.join(opened, list(on))

@@ -123,10 +123,19 @@ def excluded(index: DataFrame, params: ExtractionParams = DEFAULT_PARAMS) -> Dat
 
 
 def attrition(
-    base: DataFrame, index: DataFrame, params: ExtractionParams = DEFAULT_PARAMS
+    base: DataFrame,
+    index: DataFrame,
+    params: ExtractionParams = DEFAULT_PARAMS,
+    subjects: DataFrame | None = None,
 ) -> DataFrame:
-    """How many rows each selection step leaves, as ``(step, n)``."""
-    admitted = base.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("admissions").alias("step"), "n"
-    )
-    return admitted.unionByName(attrition_report(index, criteria(params)))
+    """How many rows each selection step leaves, as ``(step, n)``.
+
+    ``listed`` (subject ids asked for), ``admissions`` (their admissions), then
+    the criteria over first admissions.
+    """
+    report = _row_count(base, "admissions").unionByName(attrition_report(index, criteria(params)))
+    return report if subjects is None else _row_count(subjects, "listed").unionByName(report)
+
+
+def _row_count(df: DataFrame, step: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), "n")

@@ -69,10 +69,8 @@ def extract(
         index = staged(index, folder, "index")
     selected = select_cohort(index, params)
     cohort = cohort_columns(selected)
-    anchor = Anchor(
-        selected.select(*VISIT_KEYS, "admittime"),
-        max_rows=selected.count() if stage else listed,
-    )
+    visits = selected.select(*VISIT_KEYS, "admittime")
+    anchor = Anchor.counted(visits) if stage else Anchor(visits, max_rows=listed)
 
     charted = None
     if stage and vital_bounds.items is not None:
@@ -91,7 +89,7 @@ def extract(
         targets=target_columns(selected),
         labs=labs_in_window(tables.labevents, anchor, lab_bounds, params.window_hours),
         vitals=vitals,
-        attrition=attrition(base, index, params),
+        attrition=attrition(base, index, params, subjects),
     )
 
 

@@ -288,7 +288,8 @@ _PREAMBLE = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in _RELATI
 
 _IDS = "subject_id, hadm_id"
 _ATTRITION = """
-    SELECT 'admissions' AS step, count(*) AS n FROM base
+    SELECT 'listed' AS step, count(c_custkey) AS n FROM customer
+    UNION ALL SELECT 'admissions', count(*) FROM base
     UNION ALL SELECT 'candidates', count(*) FROM judged
     UNION ALL SELECT 'passed:age', count(*) FROM judged WHERE ok_age
     UNION ALL SELECT 'passed:length_of_stay', count(*) FROM judged WHERE ok_length_of_stay

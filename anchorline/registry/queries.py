@@ -254,7 +254,7 @@ _QUERIES: dict[str, Callable[[_Study], DataFrame]] = {
     "label_mortality": _label("mortality"),
     "label_prolonged_los": _label("prolonged_los"),
     "label_readmission": _label("readmission_30d"),
-    "attrition": lambda s: c.attrition(s.base, s.index),
+    "attrition": lambda s: c.attrition(s.base, s.index, subjects=s.subjects),
     "excluded": excluded,
     "normalize_enums": normalize_enums,
     # window and single features

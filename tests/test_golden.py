@@ -79,7 +79,7 @@ def test_measurements(two_stays):
 
 def test_attrition(two_stays):
     counts = dict(two_stays.attrition.collect())
-    assert counts["admissions"] == 5 and counts["candidates"] == 3
+    assert counts["listed"] == 3 and counts["admissions"] == 5 and counts["candidates"] == 3
     assert counts["kept"] == 2 and counts["excluded"] == 1
     assert counts["excluded:age"] == 1 and counts["excluded:survived"] == 0
 

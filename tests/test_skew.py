@@ -58,16 +58,20 @@ def visits(spark):
     )
 
 
-def test_hot_visit_is_split_in_the_shuffled_join(spark, skew_settings, hot_events, visits):
-    found = within_anchor(hot_events, Anchor(visits), f.VISIT_KEYS, "event_time", 48)
+@pytest.mark.parametrize("bound,join", [(None, "SortMergeJoin"), (10**9, "ShuffledHashJoin")])
+def test_hot_visit_is_split_in_the_shuffled_join(
+    spark, skew_settings, hot_events, visits, bound, join
+):
+    anchor = Anchor(visits, max_rows=bound)
+    found = within_anchor(hot_events, anchor, f.VISIT_KEYS, "event_time", 48)
     per_visit = found.groupBy("hadm_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("value").alias("top")
     )
     counts = {row.hadm_id: row.n for row in per_visit.collect()}
     plan = final_plan(per_visit)
-    assert "ShuffledHashJoin(skew=true)" in plan
-    # the events are hashed against the anchor, not sorted
-    assert "Sort [" not in plan
+    assert f"{join}(skew=true)" in plan
+    # against a counted large anchor the events are not even sorted
+    assert ("Sort [" in plan) == (bound is None)
     # still whole: ids are spread evenly over 60 hours, 49 of which are in the window
     assert sum(counts.values()) == 49 * 1000
     assert counts[7] == max(counts.values())
