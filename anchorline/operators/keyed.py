@@ -31,7 +31,7 @@ def next_in_key(df: DataFrame, key: str, order: str, tie: str, next_name: str) -
     """For every row the ``order`` value of the following row of its key.
 
     Rows follow each other by ``order`` (NULLs last), then ``tie``, which must
-    be unique among rows of equal key and order.  ``order`` is a timestamp.
+    be known and unique among rows of equal key and order.  ``order`` is a timestamp.
 
     A plain ``lead`` window would put a whole key into one task.  Instead rows
     are first reduced to the distinct instants of each key (combined map-side);

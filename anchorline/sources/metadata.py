@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators.sizing import LOOKUP_ROWS
 
+BOUNDS_SCHEMA = "itemid bigint, min double, max double"
+
 
 def load_subjects(spark: SparkSession, path: str) -> DataFrame:
     """The ``subject_id`` column of a header CSV, duplicates kept."""
@@ -31,12 +33,19 @@ class Bounds:
 
     @classmethod
     def from_rows(cls, spark: SparkSession, rows: Iterable[tuple[int, float, float]]) -> "Bounds":
-        rows = [(int(item), float(low), float(high)) for item, low, high in rows]
+
+        def number(value: float | None) -> float | None:
+            return None if value is None else float(value)
+
+        rows = [(int(item), number(low), number(high)) for item, low, high in rows]
+        if not rows or len(rows) > LOOKUP_ROWS:
+            return cls(spark.createDataFrame(rows, BOUNDS_SCHEMA), None if rows else ())
         # a literal relation: its size is known to the planner
-        values = ", ".join(f"({item}L, {low!r}D, {high!r}D)" for item, low, high in rows)
+        values = ", ".join(
+            f"({item}L, DOUBLE('{low}'), DOUBLE('{high}'))" for item, low, high in rows
+        ).replace("DOUBLE('None')", "CAST(NULL AS DOUBLE)")
         frame = spark.sql(f"SELECT * FROM VALUES {values} AS bounds(itemid, min, max)")
-        small = len(rows) <= LOOKUP_ROWS
-        return cls(frame, tuple(sorted({r[0] for r in rows})) if small else None)
+        return cls(frame, tuple(sorted({row[0] for row in rows})))
 
     @classmethod
     def measured(cls, frame: DataFrame) -> "Bounds":

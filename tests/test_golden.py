@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from anchorline import Bounds, extract
+from anchorline import Bounds, ExtractionParams, extract
 from anchorline import fixed_values as fv
 from anchorline.sources.schemas import (
     COHORT_COLUMNS,
@@ -84,6 +84,29 @@ def test_attrition(two_stays):
     assert counts["excluded:age"] == 1 and counts["excluded:survived"] == 0
 
 
+def test_thresholds_are_parameters(spark):
+    result = extract(
+        tables(spark, **seed_two_stays()),
+        subject_ids(spark, [1, 2, 3]),
+        Bounds.from_rows(spark, fv.LAB_BOUNDS),
+        Bounds.from_rows(spark, fv.VITAL_BOUNDS),
+        ExtractionParams(
+            window_hours=5,
+            min_age=16,
+            min_los_hours=60,
+            mortality_days=29,
+            prolonged_los_days=2,
+            readmission_days=10,
+        ),
+    )
+    targets = by_subject(result.targets)
+    assert {s: tuple(row)[2:] for s, row in targets.items()} == {1: (0, 1, 0), 2: (0, 1, 0)}
+    (one, two) = (by_subject(result.cohort)[s] for s in (1, 2))
+    assert [one[name] for name in FEATURE_COLUMNS[3:]] == [0, 0, 1, 1, 0, 0]
+    assert one.first_icu_intime is None and two.height_cm is None
+    assert result.labs.count() == 2 and result.vitals.count() == 2
+
+
 @pytest.mark.parametrize("stage", [True, False])
 def test_minimal_seed(spark, stage):
     admit = BASE

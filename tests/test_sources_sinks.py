@@ -36,6 +36,13 @@ def test_long_bounds_are_not_collected(spark, monkeypatch):
     assert Bounds.from_rows(spark, [(i, 0, 1) for i in range(3)]).items is None
 
 
+def test_bounds_from_rows_keep_every_number(spark):
+    rows = [(1, 0.1, 1e-07), (2, float("-inf"), float("inf")), (3, None, 5.0)]
+    assert sorted(map(tuple, Bounds.from_rows(spark, rows).frame.collect())) == rows
+    empty = Bounds.from_rows(spark, [])
+    assert empty.frame.count() == 0 and empty.items == ()
+
+
 def test_unmeasured_bounds_fall_back_to_lazy_vitals(spark):
     plain = Bounds(Bounds.from_rows(spark, fv.VITAL_BOUNDS).frame)
     labs = Bounds.from_rows(spark, fv.LAB_BOUNDS)
