@@ -1,6 +1,6 @@
 """The extraction as a batch job: read, extract, write, report.
 
-``spark-submit -m anchorline.job`` style use::
+::
 
     python -m anchorline.job --tables /data/clinic --subjects ids.csv \\
         --lab-bounds labs.csv --vital-bounds vitals.csv --output /data/out

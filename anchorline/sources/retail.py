@@ -2,7 +2,9 @@
 
 Orders stand for admissions, customers for patients and line items for events.
 Every view is a lazy projection over the whole tables and exercises NULLs,
-window edges, error marks and unknown items.
+window edges, error marks and unknown items.  Remainders of keys only spread
+values, and decide which admissions have no ICU stay or a second one; every
+query runs over all of the resulting rows.
 """
 
 from __future__ import annotations
