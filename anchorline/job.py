@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .config import DEFAULT_PARAMS, ExtractionParams
 from .plans import Extraction, extract
 from .sources import ClinicalTables, load_bounds, load_subjects, write_outputs
+from .sources.sinks import CSV_OPTIONS
 
 READERS = {
     "parquet": ClinicalTables.from_parquet,
@@ -60,7 +61,7 @@ def run_job(
     for name, frame in outputs.items():
         reader = spark.read.schema(frame.schema).format(output_format)
         if output_format == "csv":
-            reader = reader.option("header", True)
+            reader = reader.options(**CSV_OPTIONS)
         samples[name] = reader.load(f"{output}/{name}").limit(SAMPLE_ROWS)
     return JobReport(extraction, counts, samples)
 

@@ -18,14 +18,17 @@ def bounded(
 ) -> DataFrame:
     """Events whose item has bounds and whose value lies in ``[min, max]``.
 
-    A missing bound, a missing value and NaN all fail.  An item listed twice
+    A missing bound, a missing value and NaN in either all fail.  An item listed twice
     yields the event once per matching row, as an inner join does.  With
     ``known_items`` the item test reaches the scan as a literal IN.
     """
     if known_items is not None:
         events = events.where(in_list(item, known_items))
+    # NaN sorts above every number, so as an upper bound it would let all pass
     limits = bounds.select(
-        F.col("itemid").alias(item), F.col("min").alias("_min"), F.col("max").alias("_max")
+        F.col("itemid").alias(item),
+        F.col("min").alias("_min"),
+        F.nanvl("max", F.lit(None).cast("double")).alias("_max"),
     )
     limits = small_side(
         limits, len(known_items) if known_items is not None else None, LOOKUP_ROWS

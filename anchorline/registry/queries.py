@@ -24,7 +24,8 @@ from ..plans.measures import labs_in_window, plausible, vitals_in_window
 from ..plans.scoring import score_subjects
 from ..sources import Bounds, ClinicalTables, load_bounds, load_subjects, write_outputs
 from ..sources.retail import clinical_tables, read_table, subject_list
-from ..sources.schemas import MEASURE_COLUMNS, TARGET_COLUMNS
+from ..sources.schemas import MEASURE_COLUMNS
+from ..sources.sinks import CSV_OPTIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,7 +204,7 @@ def csv_roundtrip(s: _Study) -> DataFrame:
     path = s.scratch
     targets = c.target_columns(s.selected)
     write_outputs({"targets": targets}, path, "csv")
-    return s.spark.read.schema(targets.schema).option("header", True).csv(f"{path}/targets")
+    return s.spark.read.schema(targets.schema).options(**CSV_OPTIONS).csv(f"{path}/targets")
 
 
 def result_row_counts(s: _Study) -> DataFrame:

@@ -7,7 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-CSV_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # keeps microseconds
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',  # quotes are doubled, as spreadsheets and data-frame readers expect
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",  # keeps microseconds
+}
 
 
 def write_outputs(
@@ -22,7 +26,7 @@ def write_outputs(
         seen = Observation()
         writer = frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         if fmt == "csv":
-            writer = writer.option("header", True).option("timestampNTZFormat", CSV_TIME_FORMAT)
+            writer = writer.options(**CSV_OPTIONS)
         writer.format(fmt).save(f"{path}/{name}")
         counts[name] = seen.get["rows"]
     return counts

@@ -301,9 +301,10 @@ def test_bounds_are_inclusive_and_nan_fails(spark, pushed):
 def test_missing_bound_drops_and_repeated_item_multiplies(spark):
     _, anchor = visit_anchor(spark)
     table = spark.createDataFrame(
-        [(1, None, 5.0), (2, 0.0, 5.0), (2, 0.0, 9.0)], "itemid bigint, min double, max double"
+        [(1, None, 5.0), (2, 0.0, 5.0), (2, 0.0, 9.0), (3, 0.0, float("nan"))],
+        "itemid bigint, min double, max double",
     )
-    rows = [event(1, 10, BASE, 1, 1.0), event(1, 10, BASE, 2, 1.0)]
+    rows = [event(1, 10, BASE, item, 1.0) for item in (1, 2, 3)]
     found = labs_in_window(frame(spark, "labevents", rows), anchor, Bounds.measured(table))
     assert [r.itemid for r in found.collect()] == [2, 2]
 

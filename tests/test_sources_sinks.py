@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pandas as pd
 import pytest
 
 from anchorline import Bounds, ClinicalTables, extract, load_bounds, load_subjects, write_outputs
@@ -7,7 +8,8 @@ from anchorline import fixed_values as fv
 from anchorline.operators import shared_folder, sizing, staged
 from anchorline.plans import cohort as c
 from anchorline.sources.schemas import SOURCE_SCHEMAS
-from clinic import BASE, admission, frame, patient, seed_two_stays, subject_ids, tables
+from anchorline.sources.sinks import CSV_OPTIONS
+from clinic import BASE, admission, frame, h, patient, seed_two_stays, subject_ids, tables
 
 
 def test_subject_list_keeps_repeats_and_ignores_other_columns(spark, tmp_path):
@@ -64,12 +66,23 @@ def test_outputs_round_trip_with_counts(spark, tmp_path, fmt):
     assert counts == {"cohort": 2, "labs": 20, "vitals": 36, "targets": 2}
     for name, df in outputs.items():
         reader = spark.read.schema(df.schema)
-        back = (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(
-            f"{tmp_path}/{name}"
-        )
+        reader = reader.options(**CSV_OPTIONS) if fmt == "csv" else reader
+        back = reader.format(fmt).load(f"{tmp_path}/{name}")
         assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
 
 
+def test_csv_reads_the_same_outside_spark(spark, tmp_path):
+    text = 'say "a, b"'
+    rows = [(1, text, BASE + h(1.5), None), (2, None, None, 0.1)]
+    df = spark.createDataFrame(rows, "i int, s string, t timestamp_ntz, x double").coalesce(1)
+    assert write_outputs({"odd": df}, str(tmp_path), "csv") == {"odd": 2}
+    (part,) = (tmp_path / "odd").glob("*.csv")
+    back = pd.read_csv(part, parse_dates=["t"])
+    assert list(back.columns) == ["i", "s", "t", "x"]
+    assert back.s[0] == text and back.t[0] == BASE + h(1.5) and back.x[1] == 0.1
+    assert back.isna().sum().sum() == 3
+
+
 def test_empty_outputs_are_counted(spark, tmp_path):
     empty = spark.createDataFrame([], "a int")
     assert write_outputs({"none": empty}, str(tmp_path)) == {"none": 0}
