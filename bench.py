@@ -1,7 +1,7 @@
 """Wall time of the headline queries: one JSON line on stdout.
 
 Each query is built and run from scratch every time (plan building included),
-its rows going to a sink that discards them; one warm-up, then the median.
+its rows going to a sink that discards them; one warm-up round, then medians.
 BENCH_SF_DIR, BENCH_CPUS, BENCH_REPEATS, BENCH_QUERIES (comma list or "all").
 """
 
@@ -58,10 +58,9 @@ def main() -> None:
         available[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {}
-    for name in names:
+    for name in names:  # one warm-up round over everything
         timed(name)
-        seconds[name] = round(median(timed(name) for _ in range(repeats)), 3)
+    seconds = {name: round(median(timed(name) for _ in range(repeats)), 3) for name in names}
     spark.stop()
     print(
         json.dumps(
