@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language, packing, sharding
+from . import decontaminate, fingerprints, language, packing, sharding, substrings, suffixes
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,18 @@ def op7_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
 
+def op8_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_syncmer_fingerprints,
         op2_best_two_fit,
         op3_wu_manber,
+        op4_super_kmers,
         op6_byte_gru,
         op7_differencing,
+        op8_interval_tree,
     ]
     return {query.__name__: query for query in found}
