@@ -14,7 +14,7 @@ once and never shuffled.
 
 Defined results: a NULL, empty or wordless text has no matches; a template of
 fewer than ``GRAM`` words is indexed by all its words; several matches of one
-template are several rows; repeated rows give repeated matches; other columns
+template are several rows; of matches that overlap the one with the most words is reported; repeated rows give repeated matches; other columns
 are ignored.
 """
 
@@ -189,6 +189,7 @@ def matches(index: Index, words: Words, coverage: float) -> Iterator[tuple[int,
     found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
     for text, number, diagonal, word in index.hits(words):
         found[text, number].append((diagonal, word))
+    aligned: dict[int, list[tuple]] = defaultdict(list)
     for (text, number), hits in sorted(found.items()):
         template = index.words[number]
         lo, hi = words.bounds[text], words.bounds[text + 1]
@@ -202,7 +203,13 @@ def matches(index: Index, words: Words, coverage: float) -> Iterator[tuple[int,
             if len(pairs) >= coverage * len(template):
                 at = [int(a) + j for _, j in pairs]
                 done = at[-1]
-                yield text, index.names[number], len(pairs) / len(template), at
+                aligned[text].append((-len(at), -len(at) / len(template), index.names[number], at))
+    for text, rivals in sorted(aligned.items()):  # of matches that overlap the longest is reported
+        taken: list[tuple[int, int]] = []
+        for _, share, name, at in sorted(rivals):
+            if all(at[-1] < first or last < at[0] for first, last in taken):
+                taken.append((at[0], at[-1]))
+                yield text, name, -share, at
 
 
 def _scan(templates: dict[str, str], coverage: float):

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language, packing, sharding, substrings, suffixes
+from . import (
+    decontaminate,
+    fingerprints,
+    language,
+    licenses,
+    lm,
+    neardup,
+    packing,
+    sharding,
+    substrings,
+    suffixes,
+)
 from .common import table
 
 
@@ -26,6 +37,10 @@ def op4_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op5_winnowed_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -38,14 +53,25 @@ def op8_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
+def op9_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
+def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_syncmer_fingerprints,
         op2_best_two_fit,
         op3_wu_manber,
         op4_super_kmers,
+        op5_winnowed_licenses,
         op6_byte_gru,
         op7_differencing,
         op8_interval_tree,
+        op9_bayesian_minhash,
+        op10_stupid_backoff,
     ]
     return {query.__name__: query for query in found}
