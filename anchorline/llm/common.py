@@ -7,14 +7,14 @@ task never holds more than one Arrow batch and one slice (or one long text).
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 from zipfile import ZipFile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.staging import shared_folder, staged
@@ -56,15 +56,18 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed_text(docs: DataFrame) -> DataFrame:
-    """``doc_id, id_key, text_key, text``: a key that also tells repeated ids apart.
+def row_keys() -> tuple[Column, Column]:
+    """A never-NULL id and a hash of the text: together they tell repeated ids apart."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")
+
 
-    Rows equal in id and text share a key and get equal results.
-    """
+def keyed_text(docs: DataFrame) -> DataFrame:
+    """``doc_id, id_key, text_key, text``; rows equal in both keys get equal results."""
+    id_key, text_key = row_keys()
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_key"),
-        F.xxhash64("text").alias("text_key"),
+        id_key.alias("id_key"),
+        text_key.alias("text_key"),
         F.col("text"),
     )
 
@@ -204,6 +207,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return Prefix(data).spans(starts, ends)
 
 
+def passing(docs: DataFrame, chooser: Callable[[], Callable[[Slice], list[bool]]]) -> DataFrame:
+    """The rows, whole, whose text a task's ``chooser()`` accepts; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choose = chooser()
+        for part in slices(batches):
+            yield part.batch.slice(part.lo, len(part)).filter(pa.array(choose(part), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],

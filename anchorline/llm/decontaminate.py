@@ -28,7 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Prefix, Slice, keyed_text, record_batch, slices, word_hashes, word_spans
+from .common import (
+    ALNUM,
+    LOWER,
+    Prefix,
+    Slice,
+    keyed_text,
+    passing,
+    record_batch,
+    slices,
+    word_hashes,
+    word_spans,
+)
 
 WINDOW = 10
 BLOCK_BYTES = 4_000_000
@@ -157,21 +168,25 @@ def _scan(block: list[tuple[str, str]], window: int):
     return run
 
 
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The items with id and text in blocks of about ``block_bytes``; at least one block."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words")).dropna()
+    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for number in range(blocks):
+        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number)
+        yield [tuple(row) for row in chosen.collect()]
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, id_key, text_key, n_words, runs, items`` of every document.
 
     ``runs`` are disjoint ranges of hit words in order, ``items`` the ids of
     the items with an occurring window, sorted.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words")).dropna()
-    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
     texts = keyed_text(docs)
-    found = []
-    for number in range(blocks):
-        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number)
-        block = [tuple(row) for row in chosen.collect()]  # about block_bytes
-        found.append(texts.mapInArrow(_scan(block, window), SCAN))
+    found = [texts.mapInArrow(_scan(block, window), SCAN) for block in item_blocks(benchmark, block_bytes)]
+    blocks = len(found)
     if blocks == 1:
         return found[0]
     keys = ["doc_id", "id_key", "text_key", "n_words"]
@@ -187,6 +202,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*keys, "runs", "items")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, whole, without any hit; block after block, never shuffled."""
+    for block in item_blocks(benchmark, block_bytes):
+        docs = _without(docs, block, window)
+    return docs
+
+
+def _without(docs: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+    def chooser():
+        matcher = Matcher(block, window)
+        return lambda part: [not items for _, _, items in matcher.search(part)]
+
+    return passing(docs, chooser)
+
+
 def _covered(runs: str) -> F.Column:
     """Words in the union of sorted runs."""
     empty = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))

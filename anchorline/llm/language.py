@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slice, record_batch, slices
+from .common import Slice, passing, record_batch, slices
 
 PER_LANGUAGE = 256
 SNIPPET = 64
@@ -217,18 +217,23 @@ _SCHEMA = pa.schema(
 )
 
 
+def predictions(net: Network | None, part: Slice) -> tuple[list[str], list[float]]:
+    """Language and score of every text of a slice."""
+    readable = [bool(_LETTER.search(text.decode())) for text in part.texts()]
+    names, scores = [UNKNOWN] * len(part), [0.0] * len(part)
+    if net is not None:
+        found = document_scores(net, part)
+        best = found.argmax(1)
+        for i in np.flatnonzero(readable).tolist():
+            names[i] = net.languages[best[i]]
+            scores[i] = min(1.0, float(found[i, best[i]]))
+    return names, scores
+
+
 def _predict(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            readable = [bool(_LETTER.search(text.decode())) for text in part.texts()]
-            names, scores = [UNKNOWN] * len(part), [0.0] * len(part)
-            if net is not None:
-                found = document_scores(net, part)
-                best = found.argmax(1)
-                for i in np.flatnonzero(readable).tolist():
-                    names[i] = net.languages[best[i]]
-                    scores[i] = min(1.0, float(found[i, best[i]]))
-            yield record_batch(_SCHEMA, part.column("doc_id"), part.column("held_out"), names, scores)
+            yield record_batch(_SCHEMA, part.column("doc_id"), part.column("held_out"), *predictions(net, part))
 
     return run
 
@@ -243,6 +248,17 @@ def fit(docs: DataFrame) -> Network | None:
     return train(snippets) if snippets else None
 
 
+def known(docs: DataFrame) -> DataFrame:
+    """The documents, whole, that are predicted to be in a language.
+
+    If there is nothing to learn from, those with a letter.
+    """
+    net = fit(docs)
+    if net is None:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    return passing(docs, lambda: lambda part: [name != UNKNOWN for name in predictions(net, part)[0]])
+
+
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document."""
     net = fit(docs)
