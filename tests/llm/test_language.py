@@ -1,0 +1,109 @@
+import random
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from anchorline.llm import language as op
+
+PARTS = {
+    "aa": ["the", "ing", "wh", "th", "and", "ea"],
+    "bb": ["sch", "ung", "ü", "ei", "der", "ß"],
+    "cc": ["ción", "os", "que", "ar", "ñ", "el"],
+}
+
+
+def text(rng, language, n=80):
+    return " ".join("".join(rng.choice(PARTS[language]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(1)
+    rows = [(i, text(rng, name, rng.randint(5, 200)), name) for i, name in enumerate(["aa", "bb", "cc"] * 60)]
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "12 34 !?", "cc"), (903, text(rng, "aa"), None), (None, text(rng, "bb"), "bb")]
+    rows += [(904, text(rng, "cc", 9000), None), (5, rows[5][1], rows[5][2])]
+    schema = "doc_id long, text string, lang string, held_out string, score string, _more string"
+    return rows, spark.createDataFrame([(*r, "x", "y", "z") for r in rows], schema)
+
+
+def test_held_out_accuracy_and_defined_results(labelled):
+    rows, docs = labelled
+    got = op.report(docs).collect()
+    assert len(got) == len(rows)
+    truth = {i: name for i, _, name in rows}
+    right = [r.lang_pred == truth[r.doc_id] for r in got if r.held_out and truth[r.doc_id] and r.lang_pred != "und"]
+    assert len(right) > 40 and np.mean(right) > 0.97
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (900, 901, 902))
+    assert by_id[903].lang_pred == "aa" and by_id[904].lang_pred == "cc" and by_id[None].lang_pred == "bb"
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1
+
+
+def test_only_allowed_rows_are_learned_from(labelled):
+    rows, docs = labelled
+    learned = {name for name, _ in op.sample(docs.where("lang = 'aa' or doc_id % 2 = 0"), ~op.held_out())}
+    assert learned == {"aa", "bb", "cc"}
+    assert op.sample(docs.where(op.held_out()), ~op.held_out()) == []
+    assert len(op.sample(docs, ~op.held_out(), per_language=4)) <= 12
+
+
+def test_nothing_to_learn_from(labelled, no_docs):
+    _, docs = labelled
+    unlabelled = docs.where("lang is null")
+    assert {r.lang_pred for r in op.report(unlabelled).collect()} == {"und"}
+    assert op.report(no_docs).collect() == []
+    assert op.known(unlabelled).count() == 2
+
+
+def test_known_documents_stay_whole(labelled):
+    rows, docs = labelled
+    kept = op.known(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] not in (900, 901, 902))
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(3)
+    net = op.Network.fresh(["a", "b", "c"], 4, rng)
+    for w in net.weights():
+        w *= 0.5
+    rows = rng.integers(97, 103, (3, 7)).astype(np.uint8)
+    labels = np.array([0, 1, 2])
+
+    def loss():
+        p = net.positions(net.states(rows)).astype(np.float64)
+        return -np.log(p[:, np.arange(3), labels]).mean()
+
+    for w, g in zip(net.weights(), net.gradients(rows, labels), strict=True):
+        for at in map(tuple, np.argwhere(np.abs(g) > 1e-3)[:25]):
+            kept = w[at]
+            w[at] = kept + 1e-2
+            up = loss()
+            w[at] = kept - 1e-2
+            down = loss()
+            w[at] = kept
+            assert (up - down) / 2e-2 == pytest.approx(g[at], rel=0.1, abs=2e-4)
+
+
+def test_segments_cover_every_position(labelled):
+    """A text's score doesn't depend on what else is in its batch."""
+    from anchorline.llm.common import Slice
+
+    import pyarrow as pa
+
+    rows, _ = labelled
+    net = op.train([(name, t.encode()) for _, t, name in rows[:60]], steps=30)
+    texts = [t.encode() for _, t, _ in rows[:12]] + [rows[-2][1].encode(), b"", b"x"]
+
+    def part(own):
+        data = np.frombuffer(b"".join(own), np.uint8)
+        return Slice(pa.record_batch({"x": list(range(len(own)))}), 0, len(own), np.cumsum([0, *map(len, own)]), data)
+
+    together = op.document_scores(net, part(texts))
+    for i, own in enumerate(texts):
+        alone = op.document_scores(net, part([own])) if own else np.zeros((1, 3))
+        assert np.allclose(together[i], alone[0], atol=1e-5)
+        assert together[i].sum() == pytest.approx(1 if own else 0, abs=1e-3)

@@ -1,0 +1,39 @@
+import importlib
+import re
+from pathlib import Path
+
+import pytest
+from oracle_check import compare, duck
+
+import __spark_entry__ as entry
+from anchorline.llm.oracle import oracle_sql
+from anchorline.llm.queries import queries
+
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def test_one_query_for_each_operator():
+    numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries())
+    assert numbers == list(range(1, 11))
+    assert set(queries()) | {"pipeline"} <= set(entry.queries())
+    assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_against_sql(spark, sf_dir, name):
+    actual, expected = compare(queries()[name](spark, sf_dir), duck(sf_dir), oracle_sql()[name])
+    assert actual == expected
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+def test_query_runs_on_the_whole_table(spark, sf_dir, name):
+    found = queries()[name](spark, sf_dir).collect()
+    total = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert len(found) >= total or name.startswith("op5_")
+
+
+def test_nothing_else_imports_the_text_operators():
+    for source in (ROOT / "anchorline").rglob("*.py"):
+        if "llm" not in source.parts:
+            assert "llm" not in source.read_text()
+    assert importlib.import_module("anchorline.llm")
