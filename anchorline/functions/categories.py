@@ -19,7 +19,7 @@ def normalize_enum(
     NULL gives ``other``.  Blanks and separators are left alone on purpose:
     ``"SELF PAY"`` is not ``"SELF_PAY"``.
     """
-    return F.when(in_list(f"upper({column})", allowed), F.upper(column)).otherwise(other)
+    return F.when(in_list(column, allowed, "upper"), F.upper(column)).otherwise(other)
 
 
 def normalize_categories(

@@ -14,11 +14,14 @@ def _literal(value: int | str) -> str:
     return str(int(value))
 
 
-def in_list(expression: str, values: Iterable[int | str]) -> Column:
-    """``expression IN (values)`` as one parsed expression.
+def in_list(column: str, values: Iterable[int | str], call: str = "") -> Column:
+    """``column IN (values)`` as one parsed expression; any column name will do.
+
+    ``call`` names a function that is applied to the column first.
 
     Same plan as ``Column.isin``, without one JVM call per value; an empty set
     is never matched.
     """
     items = ", ".join(_literal(value) for value in values)
-    return F.expr(f"{expression} IN ({items})") if items else F.lit(False)
+    quoted = column.replace("`", "``")
+    return F.expr(f"{call}(`{quoted}`) IN ({items})") if items else F.lit(False)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .config import DEFAULT_PARAMS, ExtractionParams
 from .plans import Extraction, extract
 from .sources import ClinicalTables, load_bounds, load_subjects, write_outputs
+from .session import apply_plan_settings
+from .sources.schemas import MEASURE_COLUMNS
 from .sources.sinks import CSV_OPTIONS
 
 READERS = {
@@ -26,6 +28,12 @@ READERS = {
 SAMPLE_ROWS = 5
 
 
+def first_rows(df: DataFrame) -> DataFrame:
+    """The first rows of a result by its identifying columns."""
+    order = [name for name in MEASURE_COLUMNS if name in df.columns]
+    return df.orderBy(*order).limit(SAMPLE_ROWS)
+
+
 @dataclass(frozen=True)
 class JobReport:
     extraction: Extraction
@@ -46,8 +54,10 @@ def run_job(
 ) -> JobReport:
     """Extract and write the four result tables.
 
-    Samples are taken from what was written, so nothing is computed twice.
+    The session gets the plan settings.  Samples are the first rows of what was
+    written, so nothing is computed twice.
     """
+    apply_plan_settings(spark)
     extraction = extract(
         READERS[tables_format](spark, tables),
         load_subjects(spark, subjects),
@@ -62,7 +72,7 @@ def run_job(
         reader = spark.read.schema(frame.schema).format(output_format)
         if output_format == "csv":
             reader = reader.options(**CSV_OPTIONS)
-        samples[name] = reader.load(f"{output}/{name}").limit(SAMPLE_ROWS)
+        samples[name] = first_rows(reader.load(f"{output}/{name}"))
     return JobReport(extraction, counts, samples)
 
 

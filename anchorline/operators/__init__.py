@@ -5,13 +5,15 @@ from .bounded import bounded
 from .criteria import attrition_report, criteria_masks, excluded_rows, kept_rows
 from .keyed import first_with_next, next_in_key
 from .members import members_of
-from .sizing import BROADCAST_ROWS, LOOKUP_ROWS, small_side
-from .staging import shared_folder, staged
+from .sizing import BROADCAST_ROWS, DEFAULT_LIMITS, LOOKUP_ROWS, PlanLimits, small_side
+from .staging import remove_folder, shared_folder, staged
 
 __all__ = [
     "Anchor",
     "BROADCAST_ROWS",
+    "DEFAULT_LIMITS",
     "LOOKUP_ROWS",
+    "PlanLimits",
     "attach",
     "attrition_report",
     "bounded",
@@ -23,6 +25,7 @@ __all__ = [
     "kept_rows",
     "members_of",
     "next_in_key",
+    "remove_folder",
     "shared_folder",
     "small_side",
     "staged",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import hours, true_or_zero
-from .sizing import fits_broadcast
+from .sizing import DEFAULT_LIMITS, PlanLimits, fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -18,16 +19,24 @@ class Anchor:
 
     ``max_rows`` is a proven upper bound of the number of visits (for example
     the counted length of the subject list), or ``None`` when nobody counted.
+    ``span`` holds the first and last anchor instant when they were measured;
+    then events outside all windows are not even read.
     """
 
     visits: DataFrame
     start: str = "admittime"
     max_rows: int | None = None
+    limits: PlanLimits = DEFAULT_LIMITS
+    span: tuple[datetime, datetime] | None = None
 
     @classmethod
-    def counted(cls, visits: DataFrame, start: str = "admittime") -> "Anchor":
-        """An anchor whose rows are counted now; worth it for a stored table."""
-        return cls(visits, start, visits.count())
+    def counted(
+        cls, visits: DataFrame, start: str = "admittime", limits: PlanLimits = DEFAULT_LIMITS
+    ) -> "Anchor":
+        """An anchor measured by one job now; worth it for a stored table."""
+        rows, first, last = visits.agg(F.count(F.lit(1)), F.min(start), F.max(start)).first()
+        span = None if first is None else (first, last)
+        return cls(visits, start, rows, limits, span)
 
 
 def within_anchor(
@@ -37,17 +46,22 @@ def within_anchor(
 
     Both ends are inclusive; an event without a time is dropped.  With a small
     counted anchor the events are never shuffled (broadcast hash join, window
-    as residual).  With a large one both sides are shuffled on the visit key
-    and the anchor's part of each partition is hashed: its keys are unique and
-    narrow, so the parts are even and small, and the events need no sort.  An
-    uncounted anchor is left to Spark's own statistics.  In both shuffled forms
-    AQE may cut a hot visit's events into as many pieces as it needs.
+    as residual).  With a larger one both sides are shuffled on the visit key,
+    and if the anchor's part of a partition is small (``PlanLimits``) it is
+    hashed, so that events need no sort; beyond that, and for an uncounted
+    anchor, Spark chooses, and a sort-merge join can spill.  In all shuffled
+    forms AQE may cut a hot visit's events into as many pieces as it needs.
     """
     opened = anchor.visits.select(*on, F.col(anchor.start).alias("_start"))
-    if fits_broadcast(anchor.max_rows):
+    partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if fits_broadcast(anchor.max_rows, anchor.limits.broadcast_rows):
         opened = F.broadcast(opened)
-    elif anchor.max_rows is not None:
+    elif anchor.limits.fits_hash(anchor.max_rows, partitions):
         opened = opened.hint("shuffle_hash")
+    if anchor.span is not None:
+        first, last = anchor.span
+        until = last + timedelta(hours=window_hours)
+        events = events.where(F.col(time).between(_instant(first), _instant(until)))
     return (
         events.join(opened, list(on))
         .where(F.col(time).between(F.col("_start"), F.col("_start") + hours(window_hours)))
@@ -55,6 +69,10 @@ def within_anchor(
     )
 
 
+def _instant(value: datetime) -> Column:
+    return F.expr(f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'")
+
+
 def attach(visits: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Left join of per-visit features; both sides hold at most one row per key."""
     return visits.join(features, key, "left").select(

@@ -7,15 +7,35 @@ splits hot keys at run time (AQE skew join).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A narrow anchor row (two ids, one timestamp) takes ~60 bytes in a hashed
-# relation, so this many rows stay near 30 MB per executor.
-BROADCAST_ROWS = 500_000
 
-# Lookup tables (item bounds) that may also be turned into a literal IN list.
-LOOKUP_ROWS = 10_000
+@dataclass(frozen=True)
+class PlanLimits:
+    """Sizes that choose between plans; rows and results are the same on either side.
+
+    ``broadcast_rows``: a counted side up to this many rows is broadcast.
+    ``lookup_rows``: a bounds table up to this many rows becomes a literal IN.
+    ``row_bytes``: what a narrow row (two ids, one timestamp) takes when hashed.
+    ``hash_task_bytes``: a shuffled side is hashed, not sorted, if a task's part
+    of it stays below this; a sort can spill, a hashed part cannot.
+    """
+
+    broadcast_rows: int = 500_000
+    lookup_rows: int = 10_000
+    row_bytes: int = 60
+    hash_task_bytes: int = 32 << 20
+
+    def fits_hash(self, max_rows: int | None, partitions: int) -> bool:
+        return max_rows is not None and max_rows * self.row_bytes <= self.hash_task_bytes * partitions
+
+
+DEFAULT_LIMITS = PlanLimits()
+BROADCAST_ROWS = DEFAULT_LIMITS.broadcast_rows
+LOOKUP_ROWS = DEFAULT_LIMITS.lookup_rows
 
 
 def fits_broadcast(max_rows: int | None, limit: int = BROADCAST_ROWS) -> bool:

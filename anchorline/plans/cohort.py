@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -28,7 +28,11 @@ def base_admissions(
     subjects: DataFrame | None = None,
     max_subjects: int | None = None,
 ) -> DataFrame:
-    """All admissions of the given subjects with their patient columns."""
+    """All admissions of the given subjects with their patient columns.
+
+    A subject with several patient rows repeats its admissions here; whatever is
+    built on first admissions takes one of them (``one_patient``).
+    """
     visits = admissions.select(*_ADMISSION_COLUMNS)
     if subjects is not None:
         visits = members_of(visits, subjects, "subject_id", max_subjects)
@@ -47,10 +51,22 @@ def with_derived(index: DataFrame) -> DataFrame:
     )
 
 
+def one_patient(patients: DataFrame) -> DataFrame:
+    """One patient row per subject: the first by birth, death, gender, missing ones last."""
+    return _first_patient(patients.select(*_PATIENT_COLUMNS), ["subject_id"])
+
+
+def _first_patient(df: DataFrame, key: list[str]) -> DataFrame:
+    order = [F.asc_nulls_last(name) for name in ("dob", "dod", "gender")]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return df.withColumn("_patient", rank).where("_patient = 1").drop("_patient")
+
+
 def index_from_base(base: DataFrame) -> DataFrame:
     """First admission per subject of a base frame, with the next admission time."""
+    single = _first_patient(base, ["subject_id", "hadm_id"])
     return with_derived(
-        first_with_next(base, "subject_id", "admittime", ["hadm_id"], "next_admittime")
+        first_with_next(single, "subject_id", "admittime", ["hadm_id"], "next_admittime")
     )
 
 
@@ -64,8 +80,8 @@ def index_admissions(
 
     Admissions are cut to one row per subject *before* any join that shuffles,
     so a subject with very many admissions never meets a join.  A short counted
-    subject list filters first (broadcast); a long one joins afterwards, on the
-    partitioning that the first-row step has already made.
+    subject list filters first (broadcast); a long one joins afterwards, against
+    one row per subject.
     """
     visits = admissions.select(*_ADMISSION_COLUMNS)
     short = subjects is not None and fits_broadcast(max_subjects)
@@ -76,7 +92,7 @@ def index_admissions(
     index = first_with_next(visits, "subject_id", "admittime", ["hadm_id"], "next_admittime")
     if subjects is not None and not short:
         index = index.join(subjects.select("subject_id").distinct(), "subject_id")
-    return with_derived(index.join(patients.select(*_PATIENT_COLUMNS), "subject_id"))
+    return with_derived(index.join(one_patient(patients), "subject_id"))
 
 
 def criteria(params: ExtractionParams = DEFAULT_PARAMS) -> dict[str, Column]:
@@ -127,13 +143,20 @@ def attrition(
     index: DataFrame,
     params: ExtractionParams = DEFAULT_PARAMS,
     subjects: DataFrame | None = None,
+    patients: DataFrame | None = None,
 ) -> DataFrame:
     """How many rows each selection step leaves, as ``(step, n)``.
 
-    ``listed`` (subject ids asked for), ``admissions`` (their admissions), then
-    the criteria over first admissions.
+    ``listed`` (subject ids asked for), ``admissions`` (their admissions),
+    ``repeated_patients`` (patient rows that are not the only or first of their
+    subject), then the criteria over first admissions.
     """
     report = _row_count(base, "admissions").unionByName(attrition_report(index, criteria(params)))
+    if patients is not None:
+        per_subject = patients.where("subject_id IS NOT NULL").groupBy("subject_id").count()
+        surplus = F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")
+        repeated = per_subject.agg(surplus).select(F.lit("repeated_patients").alias("step"), "n")
+        report = repeated.unionByName(report)
     return report if subjects is None else _row_count(subjects, "listed").unionByName(report)
 
 

@@ -2,7 +2,7 @@
 
 Each feature exists twice: as an operator of its own (``add_*``), and as part
 of ``add_all_features``, which reads every source once, joins all of it to the
-anchor in one go and aggregates once.
+anchor, and aggregates flags without a sort.
 """
 
 from __future__ import annotations
@@ -203,6 +203,9 @@ FLAG_SIGNALS = {
     "received_rrt": RRT,
     "positive_blood_culture": CULTURE,
 }
+# Flags that the chart decides, and those that it decides alone.
+CHART_FLAGS = ["was_mechanically_ventilated", "received_rrt"]
+CHART_ONLY_FLAGS = ["was_mechanically_ventilated"]
 
 
 def _signal(code: int) -> Column:
@@ -263,29 +266,45 @@ def treatment_signals(tables: ClinicalTables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def feature_table(
+def _flags(names: list[str]) -> list[Column]:
+    return [F.max(F.col("signal") == FLAG_SIGNALS[name]).alias(name) for name in names]
+
+
+def _readings() -> list[Column]:
+    value, signal = F.col("reading"), F.col("signal")
+    return [
+        earliest_by(value, FIRST_READING_ORDER, signal == code).alias(name)
+        for name, code in (("height_cm", HEIGHT), ("weight_kg", WEIGHT))
+    ]
+
+
+def feature_tables(
     tables: ClinicalTables,
     anchor: Anchor,
     window: int = WINDOW,
     charted: DataFrame | None = None,
-) -> DataFrame:
-    """One row per admission that has any event: readings and flags.
-
-    ``charted`` may hold chart rows that are already cut to the window (see
-    ``extract``); otherwise the chart table is read here, once.
+) -> list[DataFrame]:
+    """Readings and flags per admission, in tables that hold at most one row of each.
+
+    Flags are hashed: no event of another source than the chart is ever sorted.
+    The first readings need an order, so only chart rows meet it.  ``charted``
+    may hold chart rows that are already cut to the window (see ``extract``);
+    being stored, they are read twice, and only heights and weights are ordered.
+    Otherwise the chart table is read here, once.  RRT comes from two sources and
+    is a column of two tables.
     """
+    treated = _in_window(treatment_signals(tables), anchor, window).groupBy("hadm_id")
+    treatments = treated.agg(*_flags([n for n in FLAG_SIGNALS if n not in CHART_ONLY_FLAGS]))
     if charted is None:
-        events = chart_signals(tables.chartevents).unionByName(treatment_signals(tables))
-        events = _in_window(events, anchor, window)
-    else:
-        events = _in_window(treatment_signals(tables), anchor, window)
-        events = events.unionByName(chart_signals(charted))
-    signal = F.col("signal")
-    return events.groupBy("hadm_id").agg(
-        earliest_by(F.col("reading"), FIRST_READING_ORDER, signal == HEIGHT).alias("height_cm"),
-        earliest_by(F.col("reading"), FIRST_READING_ORDER, signal == WEIGHT).alias("weight_kg"),
-        *[F.max(signal == code).alias(name) for name, code in FLAG_SIGNALS.items()],
-    )
+        chart = _in_window(chart_signals(tables.chartevents), anchor, window)
+        return [treatments, chart.groupBy("hadm_id").agg(*_readings(), *_flags(CHART_FLAGS))]
+    chart = chart_signals(charted)
+    measured = chart.where(F.col("signal").isin(HEIGHT, WEIGHT))
+    return [
+        treatments,
+        measured.groupBy("hadm_id").agg(*_readings()),
+        chart.groupBy("hadm_id").agg(*_flags(CHART_FLAGS)),
+    ]
 
 
 def add_all_features(
@@ -297,5 +316,14 @@ def add_all_features(
 ) -> DataFrame:
     """The cohort with all nine derived columns."""
     with_icu = add_first_icu_intime(cohort, tables.icustays, anchor, window)
-    wide = attach(with_icu, feature_table(tables, anchor, window, charted), "hadm_id")
-    return wide.withColumns({name: true_or_zero(F.col(name)) for name in FLAG_SIGNALS})
+    by_procedure = "received_rrt"
+    wide = with_icu
+    for found in feature_tables(tables, anchor, window, charted):
+        if by_procedure in wide.columns and by_procedure in found.columns:
+            found = found.withColumnRenamed(by_procedure, "_by_chart")
+        wide = attach(wide, found, "hadm_id")
+    either = true_or_zero(F.coalesce(F.col(by_procedure), F.lit(False)) | F.col("_by_chart"))
+    flags = {name: true_or_zero(F.col(name)) for name in FLAG_SIGNALS} | {by_procedure: either}
+    return wide.select(
+        *with_icu.columns, "height_cm", "weight_kg", *[flag.alias(name) for name, flag in flags.items()]
+    )

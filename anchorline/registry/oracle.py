@@ -80,8 +80,10 @@ _VIEWS = {
         LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS t0 FROM orders GROUP BY o_custkey)
           ON o_custkey = c_custkey""",
     "icustays": f"""
-        SELECT o_orderkey AS hadm_id, {_hours('o_orderdate', '(o_orderkey * 29) % 90 - 6')} AS intime
-        FROM orders WHERE o_orderkey % 3 <> 0
+        SELECT o_orderkey AS hadm_id,
+          CASE WHEN o_orderkey % 3 <> 0
+               THEN {_hours('o_orderdate', '(o_orderkey * 29) % 90 - 6')} END AS intime
+        FROM orders
         UNION ALL
         SELECT o_orderkey, {_hours('o_orderdate', '(o_orderkey * 31) % 90')}
         FROM orders WHERE o_orderkey % 6 = 1""",
@@ -106,8 +108,9 @@ _VIEWS = {
                   'Heparin', 'cefepime HCl', 'Insulin'], 'l_suppkey % 8')} AS drug FROM lo""",
     "procedureevents_mv": f"""
         SELECT {_VISIT}, {_event_time('l_partkey * 17', 'starttime')},
-          {_pick([225802, 225803, 225441, 999], 'l_partkey % 4')} AS itemid
-        FROM lo WHERE l_linenumber = 3""",
+          CASE WHEN l_linenumber = 3
+               THEN {_pick([225802, 225803, 225441, 999], 'l_partkey % 4')} ELSE 999 END AS itemid
+        FROM lo""",
     "microbiologyevents": f"""
         SELECT {_VISIT},
           {_pick(['Blood Culture', 'BLOOD CULTURE (MYCO)', 'URINE', None], 'l_partkey % 4')}
@@ -175,9 +178,8 @@ _STEPS = {
 def _in_window(table: str, time: str, condition: str, keys: str = "both") -> str:
     """FROM/WHERE of events of cohort admissions within the window."""
     on = "e.hadm_id = a.hadm_id" + (" AND e.subject_id = a.subject_id" if keys == "both" else "")
-    return f"""FROM {table} e JOIN admissions a ON {on}
-        WHERE e.hadm_id IN (SELECT hadm_id FROM members)
-          AND e.{time} BETWEEN a.admittime AND a.admittime + INTERVAL {fv.WINDOW_HOURS} HOUR
+    return f"""FROM {table} e JOIN chosen a ON {on}
+        WHERE e.{time} BETWEEN a.admittime AND a.admittime + INTERVAL {fv.WINDOW_HOURS} HOUR
           AND {condition}"""
 
 
@@ -290,6 +292,8 @@ _IDS = "subject_id, hadm_id"
 _ATTRITION = """
     SELECT 'listed' AS step, count(c_custkey) AS n FROM customer
     UNION ALL SELECT 'admissions', count(*) FROM base
+    UNION ALL SELECT 'repeated_patients', count(*) - count(DISTINCT subject_id)
+      FROM patients WHERE subject_id IS NOT NULL
     UNION ALL SELECT 'candidates', count(*) FROM judged
     UNION ALL SELECT 'passed:age', count(*) FROM judged WHERE ok_age
     UNION ALL SELECT 'passed:length_of_stay', count(*) FROM judged WHERE ok_length_of_stay
@@ -306,6 +310,12 @@ _ATTRITION = """
     UNION ALL SELECT 'excluded:survived', count(*) FROM judged
       WHERE hadm_id NOT IN (SELECT hadm_id FROM members) AND NOT ok_survived"""
 
+_ROW_COUNTS = """
+    SELECT 'cohort' AS output, count(*) AS row_count FROM wide
+    UNION ALL SELECT 'labs', count(*) FROM labs
+    UNION ALL SELECT 'vitals', count(*) FROM vitals
+    UNION ALL SELECT 'targets', count(*) FROM outcomes"""
+
 _MEASURE = "subject_id, hadm_id, charttime, itemid, valuenum"
 
 
@@ -389,11 +399,14 @@ _SELECTS = {
     "cohort_features": "SELECT * FROM wide",
     "extract_cohort": "SELECT * FROM wide",
     "extract_vitals": "SELECT * FROM vitals",
-    "result_row_counts": """
-        SELECT 'cohort' AS output, count(*) AS row_count FROM wide
-        UNION ALL SELECT 'labs', count(*) FROM labs
-        UNION ALL SELECT 'vitals', count(*) FROM vitals
-        UNION ALL SELECT 'targets', count(*) FROM outcomes""",
+    "extract_labs": "SELECT * FROM labs",
+    "extract_targets": "SELECT * FROM outcomes",
+    "extract_attrition": _ATTRITION,
+    "result_row_counts": _ROW_COUNTS,
+    "job_row_counts": _ROW_COUNTS,
+    "job_cohort_sample": _head("wide", _IDS),
+    "job_labs_sample": _head("labs", _MEASURE),
+    "stored_tables": "SELECT * FROM wide",
     "cohort_head": _head("wide", _IDS),
     "targets_head": _head("outcomes", _IDS),
     "labs_head": _head("labs", _MEASURE),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import normalize_categories
+from ..job import JobReport, first_rows, run_job
 from ..operators import Anchor, members_of, next_in_key, shared_folder, within_anchor
 from ..plans import cohort as c
 from ..plans import features as f
@@ -24,13 +25,12 @@ from ..plans.measures import labs_in_window, plausible, vitals_in_window
 from ..plans.scoring import score_subjects
 from ..sources import Bounds, ClinicalTables, load_bounds, load_subjects, write_outputs
 from ..sources.retail import clinical_tables, read_table, subject_list
-from ..sources.schemas import MEASURE_COLUMNS
+from ..sources.schemas import MEASURE_COLUMNS, SOURCE_SCHEMAS
 from ..sources.sinks import CSV_OPTIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 READING_COLUMNS = ["subject_id", "hadm_id", "event_time", "itemid", "valuenum"]
-SAMPLE_ROWS = 5
 
 
 @dataclass(frozen=True)
@@ -104,11 +104,24 @@ class _Study:
     def extraction(self) -> Extraction:
         return extract(self.tables, self.subjects, self.lab_bounds, self.vital_bounds)
 
-
-def _head(df: DataFrame) -> DataFrame:
-    """The first rows of a result by its identifying columns."""
-    order = [name for name in MEASURE_COLUMNS if name in df.columns]
-    return df.orderBy(*order).limit(SAMPLE_ROWS)
+    @cached_property
+    def stored(self) -> str:
+        """All clinical tables written as text columns, to be read back with casts."""
+        path = self.scratch
+        for name in SOURCE_SCHEMAS:
+            rows = getattr(self.tables, name)
+            text = rows.select(*[F.col(c).cast("string").alias(c.upper()) for c in rows.columns])
+            text.write.parquet(f"{path}/{name}.parquet")
+        return path
+
+    def job(self) -> JobReport:
+        """The batch job over the stored tables."""
+        path = self.scratch
+        self.subjects.write.option("header", True).csv(f"{path}/subjects")
+        for name, bounds in (("labs", self.lab_bounds), ("vitals", self.vital_bounds)):
+            bounds.frame.write.option("header", True).csv(f"{path}/{name}")
+        inputs = (f"{path}/{name}" for name in ("subjects", "labs", "vitals"))
+        return run_job(self.spark, self.stored, *inputs, f"{path}/out")
 
 
 # --- cohort -------------------------------------------------------------------
@@ -221,6 +234,30 @@ def result_row_counts(s: _Study) -> DataFrame:
     return first
 
 
+def stored_tables(s: _Study) -> DataFrame:
+    """Cohort and features from tables that were stored as text."""
+    t = ClinicalTables.from_parquet(s.spark, s.stored)
+    selected = c.select_cohort(c.index_admissions(t.admissions, t.patients, s.subjects, s.listed))
+    anchor = Anchor(selected.select(*f.VISIT_KEYS, "admittime"), max_rows=s.listed)
+    wide = f.add_all_features(c.cohort_columns(selected), t, anchor)
+    # ids were stored as text, so they come back as wide as the declared columns
+    return wide.withColumns({key: F.col(key).cast("bigint") for key in f.VISIT_KEYS})
+
+
+def job_row_counts(s: _Study) -> DataFrame:
+    """The counts that the job observed while it wrote."""
+    return s.spark.createDataFrame(list(s.job().row_counts.items()), "output string, row_count bigint")
+
+
+def job_sample(name: str) -> Callable[[_Study], DataFrame]:
+    def sample(s: _Study) -> DataFrame:
+        rows = s.job().samples[name]
+        ids = [key for key in (*f.VISIT_KEYS, "itemid") if key in rows.columns]
+        return rows.withColumns({key: F.col(key).cast("bigint") for key in ids})
+
+    return sample
+
+
 # --- scoring ---------------------------------------------------------------------
 
 # Stand-in models: the engine ships none, so the contract is shown with fixed
@@ -255,7 +292,9 @@ _QUERIES: dict[str, Callable[[_Study], DataFrame]] = {
     "label_mortality": _label("mortality"),
     "label_prolonged_los": _label("prolonged_los"),
     "label_readmission": _label("readmission_30d"),
-    "attrition": lambda s: c.attrition(s.base, s.index, subjects=s.subjects),
+    "attrition": lambda s: c.attrition(
+        s.base, s.index, subjects=s.subjects, patients=s.tables.patients
+    ),
     "excluded": excluded,
     "normalize_enums": normalize_enums,
     # window and single features
@@ -297,15 +336,23 @@ _QUERIES: dict[str, Callable[[_Study], DataFrame]] = {
     "cohort_features": lambda s: s.features,
     "extract_cohort": lambda s: s.extraction().cohort,
     "extract_vitals": lambda s: s.extraction().vitals,
+    "extract_labs": lambda s: s.extraction().labs,
+    "extract_targets": lambda s: s.extraction().targets,
+    "extract_attrition": lambda s: s.extraction().attrition,
     "result_row_counts": result_row_counts,
-    "cohort_head": lambda s: _head(s.features),
-    "targets_head": lambda s: _head(c.target_columns(s.selected)),
-    "labs_head": lambda s: _head(s.labs),
-    "vitals_head": lambda s: _head(s.vitals),
+    "cohort_head": lambda s: first_rows(s.features),
+    "targets_head": lambda s: first_rows(c.target_columns(s.selected)),
+    "labs_head": lambda s: first_rows(s.labs),
+    "vitals_head": lambda s: first_rows(s.vitals),
     # sources and sinks
     "subjects_from_csv": subjects_from_csv,
     "bounds_from_csv": bounds_from_csv,
     "csv_roundtrip": csv_roundtrip,
+    "stored_tables": stored_tables,
+    # batch job
+    "job_row_counts": job_row_counts,
+    "job_cohort_sample": job_sample("cohort"),
+    "job_labs_sample": job_sample("labs"),
     # scoring contract
     "score_unseen": score_unseen,
 }

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from anchorline import fixed_values as fv
-from anchorline.config import DEFAULT_PARAMS
+from anchorline.config import DEFAULT_PARAMS, ExtractionParams
 from anchorline.functions import (
     contains_any,
     elapsed_seconds,
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 def test_constants():
     p = DEFAULT_PARAMS
     assert (p.window_hours, p.gap_hours, p.min_los_hours) == (48, 6, 54)
-    assert p.min_los_hours == p.window_hours + p.gap_hours
+    assert ExtractionParams(window_hours=24).min_los_hours == 30
+    assert ExtractionParams(window_hours=24, min_los_hours=12).min_los_hours == 12
     assert (p.min_age, p.max_age) == (18, 89)
     assert (p.prolonged_los_days, p.readmission_days, p.mortality_days) == (7, 30, 30)
     assert fv.SECONDS_PER_YEAR == 365 * 24 * fv.SECONDS_PER_HOUR

@@ -36,3 +36,26 @@ def test_job_command_line(spark, tmp_path, capsys):
     printed = capsys.readouterr().out
     assert "vitals: 36 rows" in printed and "excluded:age" in printed
     assert spark.read.parquet(f"{tmp_path}/out/labs").count() == 20
+
+
+def test_job_puts_the_plan_settings_in_force(spark, tmp_path, capsys):
+    """A cluster's session comes without them; item lists must still reach the files whole."""
+    from anchorline.session import PLAN_SETTINGS
+
+    paths = write_inputs(spark, tmp_path, "parquet")
+    key = "spark.sql.parquet.pushdown.inFilterThreshold"
+    spark.conf.set(key, "10")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    main([part for k, v in paths.items() for part in (f"--{k.replace('_', '-')}", v)])
+    assert {name: spark.conf.get(name) for name in PLAN_SETTINGS} == PLAN_SETTINGS
+    rows = spark.read.parquet(f"{tmp_path}/tables/chartevents.parquet").where(
+        f"itemid IN ({', '.join(map(str, range(70)))})"
+    )
+    assert "In(itemid, [" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_are_the_first_rows(spark, tmp_path):
+    report = run_job(spark, **write_inputs(spark, tmp_path, "parquet"), output_format="parquet")
+    labs = spark.read.parquet(f"{tmp_path}/out/labs").collect()
+    key = lambda r: (r.subject_id, r.hadm_id, r.charttime, r.itemid, r.valuenum)
+    assert report.samples["labs"].collect() == sorted(labs, key=key)[:5]

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from anchorline import registry
 from oracle_check import compare, duck
 
 DUCK_TYPES = {
@@ -13,8 +14,8 @@ DUCK_TYPES = {
     "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,15 @@
 
 import pytest
 
-from anchorline.operators import Anchor, first_with_next, next_in_key, within_anchor
+from anchorline.operators import (
+    Anchor,
+    PlanLimits,
+    first_with_next,
+    members_of,
+    next_in_key,
+    within_anchor,
+)
+from anchorline.plans import cohort as c
 from anchorline.plans import features as f
 from pyspark.sql import functions as F
 
@@ -62,7 +70,7 @@ def visits(spark):
 def test_hot_visit_is_split_in_the_shuffled_join(
     spark, skew_settings, hot_events, visits, bound, join
 ):
-    anchor = Anchor(visits, max_rows=bound)
+    anchor = Anchor(visits, max_rows=bound, limits=PlanLimits(hash_task_bytes=1 << 40))
     found = within_anchor(hot_events, anchor, f.VISIT_KEYS, "event_time", 48)
     per_visit = found.groupBy("hadm_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("value").alias("top")
@@ -118,3 +126,57 @@ def test_flags_are_combined_before_the_shuffle(spark, hot_events, visits):
     seen.collect()
     plan = final_plan(seen)
     assert "HashAggregate" in plan[plan.index("Exchange hashpartitioning") :]
+
+
+def test_an_anchor_too_large_to_hash_is_merged(spark, skew_settings, hot_events, visits):
+    """A sort can spill; a task's part of a hashed side cannot."""
+    for limits, join in ((PlanLimits(), "ShuffledHashJoin"), (PlanLimits(hash_task_bytes=1000), "SortMergeJoin")):
+        anchor = Anchor(visits, max_rows=600_000, limits=limits)
+        found = within_anchor(hot_events, anchor, f.VISIT_KEYS, "event_time", 48)
+        assert found.count() == 49 * 1000
+        assert join in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int"])
+@pytest.mark.parametrize("listed", [None, 10**9, "missing"])
+def test_hot_subject_is_split_in_base_admissions(spark, skew_settings, kind, listed):
+    rows = spark.range(0, 60_000, numPartitions=16)
+    subject = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2000).cast(kind)
+    stamp = F.expr("TIMESTAMP_NTZ '2100-01-01'")
+    visits = rows.select(
+        subject.alias("subject_id"),
+        F.col("id").cast(kind).alias("hadm_id"),
+        *[stamp.alias(n) for n in ("admittime", "dischtime", "edregtime")],
+        *[F.hex(F.xxhash64("id", F.lit(n))).alias(n) for n in (
+            "admission_type", "admission_location", "insurance", "language", "religion", "marital_status", "ethnicity",
+        )],
+        F.lit(1).alias("has_chartevents_data"),
+    )
+    people = spark.range(2000).select(
+        F.col("id").cast(kind).alias("subject_id"), F.lit("F").alias("gender"), stamp.alias("dob"), stamp.alias("dod")
+    )
+    subjects = None if listed == "missing" else people.select("subject_id")
+    base = c.base_admissions(visits, people, subjects, None if listed == "missing" else listed)
+    assert len(base.collect()) == 60_000
+    assert "skew=true" in final_plan(base)
+
+
+def test_hot_visit_is_split_in_the_icu_join(spark, skew_settings, hot_events, visits):
+    # instants of their own: a hot key with few instants would compress to nothing
+    later = F.expr("make_dt_interval(0, 0, 0, CAST(pmod(value, 3000000000) AS DECIMAL(18, 6)) / 1000000)")
+    stays = hot_events.select("hadm_id", (F.col("event_time") + later).alias("intime"))
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1KB")  # two narrow columns
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1KB")
+    times = f.first_icu_times(stays, Anchor(visits))
+    hadms = {r.hadm_id for r in hot_events.select("hadm_id").distinct().collect()}
+    assert {r.hadm_id for r in times.collect()} <= hadms
+    assert "skew=true" in final_plan(times)
+
+
+def test_a_long_list_is_combined_before_the_shuffle(spark, skew_settings, hot_events, visits):
+    """A third of the list is one id: it is one row per task when it travels."""
+    found = members_of(visits, hot_events, "hadm_id")
+    assert len(found.collect()) == len({r.hadm_id for r in hot_events.select("hadm_id").distinct().collect()})
+    plan = final_plan(found)
+    right = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "HashAggregate" in right

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -9,7 +9,7 @@ from anchorline.operators import shared_folder, sizing, staged
 from anchorline.plans import cohort as c
 from anchorline.sources.schemas import SOURCE_SCHEMAS
 from anchorline.sources.sinks import CSV_OPTIONS
-from clinic import BASE, admission, frame, h, patient, seed_two_stays, subject_ids, tables
+from clinic import BASE, admission, d, frame, h, patient, seed_two_stays, subject_ids, tables
 
 
 def test_subject_list_keeps_repeats_and_ignores_other_columns(spark, tmp_path):
@@ -45,7 +45,7 @@ def test_bounds_from_rows_keep_every_number(spark):
     assert empty.frame.count() == 0 and empty.items == ()
 
 
-def test_unmeasured_bounds_fall_back_to_lazy_vitals(spark):
+def test_unmeasured_bounds_give_the_same_vitals(spark):
     plain = Bounds(Bounds.from_rows(spark, fv.VITAL_BOUNDS).frame)
     labs = Bounds.from_rows(spark, fv.LAB_BOUNDS)
     t = tables(spark, **seed_two_stays())
@@ -127,6 +127,58 @@ def test_staged_frames_keep_schema_and_rows(spark):
     assert back.dtypes == df.dtypes and sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
 
 
+def test_a_run_can_remove_its_own_stage(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("anchorline.plans.extraction.shared_folder", lambda _: str(tmp_path))
+    bounds = Bounds.from_rows(spark, fv.LAB_BOUNDS)
+    t = tables(spark, **seed_two_stays())
+    first, second = (extract(t, subject_ids(spark, [1, 3]), bounds, bounds) for _ in range(2))
+    assert len(list((tmp_path / "anchorline").iterdir())) == 2
+    first.discard_stage()
+    assert len(list((tmp_path / "anchorline").iterdir())) == 1
+    assert second.cohort.count() == 2
+
+
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize("zone,shift", [("UTC", 0), ("Europe/Berlin", 1)])
+def test_stored_instants_do_not_depend_on_the_session(spark, tmp_path, session_zone, zone, shift):
+    """Both sides of a clock change, once around New York's repeated hour."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    micros = [1_730_610_000_000_000 + n * 1_800_000_000 + 123_456 for n in range(8)]  # 2024-11-03 05:00 UTC on
+    rows = spark.createDataFrame([(n, m) for n, m in enumerate(micros)], "hadm_id int, m bigint")
+    path = f"{tmp_path}/icustays.parquet"
+    try:
+        spark.conf.set("spark.sql.session.timeZone", session_zone)
+        rows.selectExpr("hadm_id", "timestamp_micros(m) AS intime").write.parquet(path)
+        got = ClinicalTables.from_parquet(spark, str(tmp_path), source_zone=zone).icustays
+        assert got.schema["intime"].dataType.typeName() == "timestamp_ntz"
+        start = datetime(2024, 11, 3, 5 + shift, 0, 0, 123_456)
+        assert [r.intime for r in got.orderBy("hadm_id").collect()] == [
+            start + timedelta(minutes=30 * n) for n in range(8)
+        ]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_repeated_patients_are_one_subject(spark):
+    people = [patient(1), patient(1, gender="M"), patient(1), patient(2), patient(2, died=BASE + d(9))]
+    t = tables(
+        spark,
+        admissions=[admission(1, 10), admission(1, 11, BASE + d(20)), admission(2, 20)],
+        patients=people,
+    )
+    index = c.index_admissions(t.admissions, t.patients)
+    from_base = c.index_from_base(c.base_admissions(t.admissions, t.patients))
+    assert sorted(map(str, index.select(sorted(index.columns)).collect())) == sorted(
+        map(str, from_base.select(sorted(index.columns)).collect())
+    )
+    rows = {r.subject_id: r for r in index.collect()}
+    assert len(rows) == index.count() == 2
+    assert rows[1].gender == "F" and rows[1].next_admittime == BASE + d(20)
+    assert rows[2].dod == BASE + d(9)
+    report = c.attrition(c.base_admissions(t.admissions, t.patients), index, patients=t.patients)
+    assert {r.step: r.n for r in report.collect()}["repeated_patients"] == 3
+
+
 class StubSession:
     """Only what `shared_folder` reads."""
 
@@ -143,6 +195,8 @@ def test_shared_folder_comes_from_the_session():
     assert shared_folder(StubSession(master="local[4]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(StubSession(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(StubSession(master="local-cluster[2,1,1024]"))
 
 
 def test_broadcast_needs_a_counted_bound(spark):
