@@ -35,6 +35,8 @@ STEPS, BATCH, RATE = 220, 128, 0.02
 HIDDEN = 8
 SEGMENT, CONTEXT = 240, 8
 UNKNOWN = "und"
+#: stands where a row has no byte: its update gate is shut, so states pass it unchanged
+NOTHING = 256
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -44,7 +46,7 @@ class Network:
     """Weights; the first axis of the recurrent ones is the direction."""
 
     languages: list[str]
-    inputs: np.ndarray  # 2, 256, 3 hidden: update, reset, candidate
+    inputs: np.ndarray  # 2, 257, 3 hidden: update, reset, candidate
     gates: np.ndarray  # 2, hidden, 2 hidden
     candidate: np.ndarray  # 2, hidden, hidden
     out: np.ndarray  # 2 hidden, languages
@@ -58,9 +60,12 @@ class Network:
         def normal(*shape: int, scale: float) -> np.ndarray:
             return rng.normal(0, scale, shape).astype(np.float32)
 
+        inputs = normal(2, NOTHING + 1, 3 * hidden, scale=0.5)
+        inputs[:, NOTHING] = 0
+        inputs[:, NOTHING, :hidden] = -1e9
         return cls(
             languages,
-            normal(2, 256, 3 * hidden, scale=0.5),
+            inputs,
             normal(2, hidden, 2 * hidden, scale=0.3),
             normal(2, hidden, hidden, scale=0.3),
             normal(2 * hidden, len(languages), scale=0.3),
@@ -154,7 +159,7 @@ def train(snippets: list[tuple[str, bytes]], hidden: int = HIDDEN, steps: int =
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
     for step in range(1, steps + 1):
         labels = rng.integers(len(languages), size=BATCH)
-        rows = np.full((BATCH, SNIPPET), 32, np.uint8)
+        rows = np.full((BATCH, SNIPPET), NOTHING, np.uint16)
         for row, label in zip(rows, labels, strict=True):
             text = texts[label][rng.integers(len(texts[label]))]
             at = rng.integers(max(1, len(text) - SNIPPET + 1))
@@ -203,7 +208,7 @@ def document_scores(net: Network, part: Slice, rows_at_once: int = 512) -> np.nd
         width = int((end[own] - begin[own]).max()) + 2 * CONTEXT
         where = begin[own, None] - CONTEXT + np.arange(width)
         inside = (where >= offsets[owner[own], None]) & (where < offsets[owner[own] + 1, None])
-        rows = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 32).astype(np.uint8)
+        rows = np.where(inside, data[np.clip(where, 0, len(data) - 1)], np.uint16(NOTHING))
         scores = net.positions(net.states(rows))
         counted = (where >= begin[own, None]) & (where < end[own, None])
         sums = np.einsum("trl,rt->rl", scores, counted.astype(np.float32))
@@ -226,7 +231,7 @@ def predictions(net: Network | None, part: Slice) -> tuple[list[str], list[float
         best = found.argmax(1)
         for i in np.flatnonzero(readable).tolist():
             names[i] = net.languages[best[i]]
-            scores[i] = min(1.0, float(found[i, best[i]]))
+            scores[i] = round(min(1.0, float(found[i, best[i]])), 4)
     return names, scores
 
 
