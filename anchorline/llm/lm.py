@@ -127,7 +127,10 @@ def score_table(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
 
 def report(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """``doc_id, n_bytes, log_score, mean_log_score`` of every document."""
+    """``doc_id, n_bytes, log_score, mean_log_score`` of every document.
+
+    Sums of logarithms are rounded, so that the order of summation can't show.
+    """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_key"), "text")
     scores = score_table(stage(count_table(texts), "gram-counts"), min_count)
     grams = texts.mapInArrow(_explode, EXPLODED)
@@ -144,7 +147,7 @@ def report(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         .select(
             F.nullif("id_key", F.lit(NO_ID)).alias("doc_id"),
             F.coalesce("n_bytes", none).alias("n_bytes"),
-            "log_score",
-            (F.col("log_score") / F.col("n_bytes")).alias("mean_log_score"),
+            F.round("log_score", 3).alias("log_score"),
+            F.round(F.col("log_score") / F.col("n_bytes"), 6).alias("mean_log_score"),
         )
     )
