@@ -395,6 +395,7 @@ _SELECTS = {
     "plausible_vitals": f"""SELECT v.{_MEASURE.replace(', ', ', v.')} FROM chartevents v
         JOIN vital_bounds b ON v.itemid = b.itemid WHERE v.valuenum BETWEEN b.lo AND b.hi""",
     "labs_48h": "SELECT * FROM labs",
+    "labs_48h_shuffled": "SELECT * FROM labs",
     "vitals_48h": "SELECT * FROM vitals",
     "cohort_features": "SELECT * FROM wide",
     "extract_cohort": "SELECT * FROM wide",

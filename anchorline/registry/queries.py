@@ -6,7 +6,7 @@ Every callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from uuid import uuid4
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import normalize_categories
 from ..job import JobReport, first_rows, run_job
-from ..operators import Anchor, members_of, next_in_key, shared_folder, within_anchor
+from ..operators import Anchor, PlanLimits, members_of, next_in_key, shared_folder, within_anchor
 from ..plans import cohort as c
 from ..plans import features as f
 from ..plans.extraction import Extraction, extract
@@ -184,6 +184,12 @@ def infusion_events(s: _Study) -> DataFrame:
     )
 
 
+def labs_shuffled(s: _Study) -> DataFrame:
+    """The labs of the window in the form that anchors above the broadcast limit take."""
+    anchor = replace(s.anchor, limits=PlanLimits(broadcast_rows=0))
+    return labs_in_window(s.tables.labevents, anchor, s.lab_bounds)
+
+
 # --- sources and sinks ----------------------------------------------------------
 
 
@@ -252,8 +258,7 @@ def job_row_counts(s: _Study) -> DataFrame:
 def job_sample(name: str) -> Callable[[_Study], DataFrame]:
     def sample(s: _Study) -> DataFrame:
         rows = s.job().samples[name]
-        ids = [key for key in (*f.VISIT_KEYS, "itemid") if key in rows.columns]
-        return rows.withColumns({key: F.col(key).cast("bigint") for key in ids})
+        return rows.withColumns({key: F.col(key).cast("bigint") for key in f.VISIT_KEYS})
 
     return sample
 
@@ -333,6 +338,7 @@ _QUERIES: dict[str, Callable[[_Study], DataFrame]] = {
     # results
     "labs_48h": lambda s: s.labs,
     "vitals_48h": lambda s: s.vitals,
+    "labs_48h_shuffled": labs_shuffled,
     "cohort_features": lambda s: s.features,
     "extract_cohort": lambda s: s.extraction().cohort,
     "extract_vitals": lambda s: s.extraction().vitals,

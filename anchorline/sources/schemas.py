@@ -1,4 +1,8 @@
-"""Declared schemas of the clinical source tables and column lists of the outputs."""
+"""Declared schemas of the clinical source tables and column lists of the outputs.
+
+Fixed values: names, types and order are the contract with stored tables and
+with readers of the results.
+"""
 
 from __future__ import annotations
 

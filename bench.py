@@ -37,6 +37,7 @@ HEADLINE = [
     "flag_blood_culture",
     "labs_48h",
     "vitals_48h",
+    "labs_48h_shuffled",
     "cohort_features",
     "result_row_counts",
 ]
