@@ -68,6 +68,7 @@ def event(subject, hadm, at, item=None, value=None, text=None, error=0, time="ch
     }
 
 
+# The golden seed, whose results are known.
 def seed_two_stays():
     """Three subjects: 1 and 3 qualify, 2 is too young; 1 and 3 come back within 30 days."""
     one, two, three = BASE, BASE + d(1), BASE + d(2)
