@@ -56,6 +56,11 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_tasks_of(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` in no more tasks than ``rows`` counted rows need at ``each`` rows a task."""
+    return df.coalesce(max(1, min(parallelism(df.sparkSession), -(-rows // each))))
+
+
 def row_keys() -> tuple[Column, Column]:
     """A never-NULL id and a hash of the text: together they tell repeated ids apart."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")
@@ -218,6 +223,26 @@ def passing(docs: DataFrame, chooser: Callable[[], Callable[[Slice], list[bool]]
     return docs.mapInArrow(run, docs.schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches that are sorted by ``key``, cut so that no group is divided."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        cut = int(np.argmax(keys == keys[-1]))
+        if cut:  # the last group may go on in the next batch
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != keys[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],

@@ -29,7 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Prefix, Slice, keyed_text, parallelism, record_batch, slices, stage, word_hashes, word_spans
+from .common import (
+    NOT_SPACE,
+    Prefix,
+    Slice,
+    keyed_text,
+    parallelism,
+    record_batch,
+    slices,
+    stage,
+    whole_groups,
+    word_hashes,
+    word_spans,
+)
 from .fingerprints import sliding_min
 
 SLOT_BITS = 16
@@ -177,7 +189,8 @@ def repeats(docs: DataFrame, scheme: Scheme) -> Repeats:
     texts = keyed_text(docs)
     frequent = frequent_slots(texts.select("text"), scheme)
     every = stage(all_runs(texts, scheme, frequent), "runs")
-    often = every.groupBy("minimiser").count().where("count > 1").select("minimiser")
+    # stored, so that the join has plain shuffles on both sides and hot partitions can be split
+    often = stage(every.groupBy("minimiser").count().where("count > 1").select("minimiser"), "repeated-minimisers")
     runs = stage(every.join(often, "minimiser"), "repeated-runs")
 
     # one copy of each string, from the document that comes first
@@ -218,23 +231,8 @@ def in_buckets(
     """``work`` on tables of whole buckets, sorted by minimiser and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("minimiser").to_numpy()
-            cut = int(np.argmax(keys == keys[-1]))
-            if cut:  # the last bucket may go on in the next batch
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            else:
-                last = held[-1].column("minimiser")[-1].as_py() if held else None
-                if held and last != keys[0]:
-                    yield from work(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch)
-        if held:
-            yield from work(pa.Table.from_batches(held))
+        for table in whole_groups(batches, "minimiser"):
+            yield from work(table)
 
     dealt = strings.repartition(parallelism(strings.sparkSession), "minimiser")
     return dealt.sortWithinPartitions("minimiser", "content").mapInArrow(run, schema)
