@@ -21,6 +21,9 @@ with one random centre per bucket, and at last each member outside its bucket's
 largest component with the bucket's others, so that no candidate link between
 components goes untested.
 
+That last comparison is made inside the bucket's task, on signatures: batches of
+members are compared at once, and only pairs that survive the pruning leave it.
+
 Defined results: a NULL, empty or blank text has no shingles and is a component
 of its own; a text of fewer words than a shingle has one, all its words; rows of
 one id are one document; repeated rows get equal results; a row without an id
@@ -40,7 +43,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, NOT_SPACE, Prefix, Slice, keyed_text, record_batch, slices, stage, word_hashes, word_spans
+from .common import (
+    LOWER,
+    NO_ID,
+    NOT_SPACE,
+    Prefix,
+    Slice,
+    in_tasks_of,
+    keyed_text,
+    parallelism,
+    record_batch,
+    slices,
+    stage,
+    whole_groups,
+    word_hashes,
+    word_spans,
+)
 
 ROWS, BANDS = 5, 44
 #: min-hashes of a signature, compared in batches
@@ -49,6 +67,8 @@ MISS = 1e-8
 #: star rounds go on while the last comparison would have more pairs than this
 #: per class that is left, and at most so many times
 PAIRS_PER_CLASS, ROUNDS = 4, 8
+#: Counted links and labels that one task takes.
+PER_TASK = 200_000
 
 
 @dataclass(frozen=True)
@@ -184,6 +204,18 @@ def least_matches(percent: int, miss: float = MISS) -> list[int]:
     return bounds
 
 
+def unpacked(batches: Iterator[pa.RecordBatch], column: str, words: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches of at most 256 rows with the shingle sets of a column of compressed texts."""
+    press = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            packed = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            texts = pa.array([press.decompress(p) for p in packed], pa.binary())
+            parts = slices([pa.RecordBatch.from_arrays([texts], ["text"])])
+            yield batch, [s for part in parts for s in shingle_sets(part, words)]
+
+
 PAIRS = "a long, b long"
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -210,20 +242,51 @@ def _plausible(rule: Rule):
     return run
 
 
-def _verified(rule: Rule):
+def plausible_pairs(nodes: np.ndarray, roots: np.ndarray, main: int, signatures: np.ndarray, bounds: list[int]):
+    """Pairs of one bucket's nodes of different components, at least one of them outside
+    ``main``, that their signatures leave possible."""
+    minor = np.flatnonzero(roots != main)
+    step = max(1, 200_000 // len(nodes))
+    for at in range(0, len(minor), step):
+        some = minor[at : at + step]
+        x_root, x_node = roots[some, None], nodes[some, None]
+        open_pairs = (roots[None] != x_root) & ((roots[None] == main) | (x_node < nodes[None]))
+        x, y = np.nonzero(open_pairs)
+        x = some[x]
+        matches = np.zeros(len(x), np.int64)
+        for turn, bound in enumerate(bounds):
+            columns = slice(turn * BATCH, (turn + 1) * BATCH)
+            matches += (signatures[x, columns] == signatures[y, columns]).sum(1)
+            alive = matches >= bound
+            x, y, matches = x[alive], y[alive], matches[alive]
+        yield np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y])
+
+
+def _compared(rule: Rule):
+    bounds = least_matches(rule.percent)
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, nodes, roots, main = (table.column(c).to_numpy() for c in ("key", "node", "root", "main"))
+        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SIGNATURE)
+        edges = np.flatnonzero(np.diff(keys)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+            own = slice(a, b)
+            for low, high in plausible_pairs(nodes[own], roots[own], main[a], signatures[own], bounds):
+                if len(low):
+                    yield record_batch(_PAIRS, low, high)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
+        for table in whole_groups(batches, "key"):
+            yield from work(table)
+
+    return run
 
-        def sets(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
-            texts = pa.array([press.decompress(p) for p in batch.column(column).to_pylist()], pa.binary())
-            parts = slices([pa.RecordBatch.from_arrays([texts], ["text"])])
-            return [s for part in parts for s in shingle_sets(part, rule.words)]
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                pairs = zip(sets(batch, "packed_a"), sets(batch, "packed_b"), strict=True)
-                found = pa.array([rule.linked(x, y) for x, y in pairs], pa.bool_())
+def _verified(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, left in unpacked(batches, "packed_a", rule.words):
+            for _, right in unpacked([batch], "packed_b", rule.words):
+                found = pa.array([rule.linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
                 yield record_batch(_PAIRS, batch.column("a").filter(found), batch.column("b").filter(found))
 
     return run
@@ -243,11 +306,27 @@ class Classes:
         signed = self.sketches.select("node", "signature")
         a, b = (signed.toDF(c, f"signature_{c}") for c in "ab")
         compared = pairs.join(a, "a").join(b, "b").select("a", "b", "signature_a", "signature_b")
-        alive = stage(compared.mapInArrow(_plausible(self.rule), PAIRS), "plausible")
+        compared = in_tasks_of(compared, pairs.count(), 50_000)
+        return self.verified(stage(compared.mapInArrow(_plausible(self.rule), PAIRS), "plausible"))
+
+    def verified(self, alive: DataFrame) -> DataFrame:
+        """The pairs that are linked by their full sets."""
         a, b = (self.texts.toDF(c, f"packed_{c}") for c in "ab")
         fetched = alive.join(a, "a").join(b, "b").select("a", "b", "packed_a", "packed_b")
+        fetched = in_tasks_of(fetched, alive.count(), 1000)
         return stage(fetched.mapInArrow(_verified(self.rule), PAIRS), "links")
 
+    def last_links(self, rest: DataFrame, largest: DataFrame) -> DataFrame:
+        """Links between nodes of different components that share an open bucket.
+
+        ``rest`` has the open buckets' ``key, node, root``, ``largest`` the root of
+        each bucket's largest component as ``main``.
+        """
+        members = rest.join(largest.select("key", "main"), "key").join(self.sketches.select("node", "signature"), "node")
+        dealt = members.repartition(parallelism(rest.sparkSession), "key").sortWithinPartitions("key", "node")
+        pairs = dealt.select("key", "node", "root", "main", "signature").mapInArrow(_compared(self.rule), PAIRS)
+        return self.verified(stage(pairs.distinct(), "plausible"))
+
 
 def sketch(docs: DataFrame, rule: Rule) -> Classes:
     texts = keyed_text(docs)
@@ -278,25 +357,31 @@ def components(links: DataFrame, seed: int = 0) -> DataFrame:
     roots = None
     step = seed
     edges = stage(links.where("a <> b").distinct(), "edges")
-    while not edges.isEmpty():
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return stage(in_tasks_of(df, first, PER_TASK), name)
+
+    first = size = edges.count()
+    while size:
         both = edges.unionAll(edges.select("b", "a"))
         rank = F.xxhash64(F.col("b"), F.lit(step)) if step else F.col("b")
         own = F.xxhash64(F.col("a"), F.lit(step)) if step else F.col("a")
         best = both.groupBy("a").agg(F.min(rank).alias("rank"), F.min_by("b", rank).alias("b"))
-        to = stage(best.select(F.col("a").alias("node"), F.when(F.col("rank") < own, F.col("b")).otherwise(F.col("a")).alias("to")), "contracted")
+        target = F.when(F.col("rank") < own, F.col("b")).otherwise(F.col("a"))
+        to = kept(best.select(F.col("a").alias("node"), target.alias("to")), "contracted")
         if roots is None:
             roots = to.withColumnRenamed("to", "root")
         else:
             step_to = to.toDF("root", "to")
             roots = roots.join(step_to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = stage(roots, "roots")
         a, b = to.toDF("a", "to_a"), to.toDF("b", "to_b")
         moved = edges.join(a, "a").join(b, "b").where("to_a <> to_b")
-        edges = stage(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "edges")
+        edges = kept(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "edges")
+        size = edges.count()
         step += 1
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    return roots
+    return kept(roots, "roots")  # the steps' small maps joined one after the other
 
 
 def _ordered(a: str, b: str) -> list:
@@ -322,20 +407,14 @@ def linked_components(found: Classes) -> DataFrame:
         nodes = rest.select("node").distinct().count()
         last = turn > ROUNDS or cost <= PAIRS_PER_CLASS * BANDS * nodes
         if last:
-            side = rest.join(largest.select("key", "main"), "key")
-            minor = side.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-            met = minor.join(side, "key").where("x_root <> root and (root = main or x < node)")
-            pairs = met.select(*_ordered("x", "node"))
-        else:
-            drawn = rest.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
-            met = rest.join(drawn, "key").where("root <> c.root")
-            pairs = met.select(*_ordered("node", "c.node"))
+            return components(links.unionAll(found.last_links(rest, largest)))
+        drawn = rest.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
+        met = rest.join(drawn, "key").where("root <> c.root")
+        pairs = met.select(*_ordered("node", "c.node"))
         fresh = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionAll(fresh)
         links = links.unionAll(found.links(fresh))
         roots = components(links)
-        if last:
-            break
     return roots
 
 
