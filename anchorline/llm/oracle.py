@@ -167,6 +167,38 @@ SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, round(score, 3) AS log_score, ro
 FROM d LEFT JOIN scored USING (doc_id)
 """
 
+#: Of ``op10_word_backoff``, which the entry registers beside the byte form.
+OP10_WORDS = f"""
+WITH d AS (SELECT doc_id, {_words("text", _WORD)} AS w FROM documents),
+grams AS (
+  SELECT doc_id, s, w[s] AS c,
+    CASE WHEN s > 1 THEN w[s - 1] END AS b,
+    CASE WHEN s > 2 THEN w[s - 2] END AS a
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d)
+),
+c1 AS (SELECT c, count(*) AS n FROM grams GROUP BY c),
+c2 AS (SELECT b, c, count(*) AS n FROM grams WHERE s > 1 GROUP BY b, c),
+c3 AS (SELECT a, b, c, count(*) AS n FROM grams WHERE s > 2 GROUP BY a, b, c),
+total AS (SELECT sum(n)::DOUBLE AS n FROM c1),
+ones AS (SELECT c, ln(c1.n / total.n) AS score FROM c1, total),
+twos AS (
+  SELECT c2.b, c2.c, CASE WHEN c2.n >= {MIN_COUNT} THEN ln(c2.n / m.n) ELSE ln({BACKOFF}) + l.score END AS score
+  FROM c2 JOIN c1 m ON m.c = c2.b JOIN ones l ON l.c = c2.c
+),
+threes AS (
+  SELECT c3.a, c3.b, c3.c, CASE WHEN c3.n >= {MIN_COUNT} THEN ln(c3.n / h.n) ELSE ln({BACKOFF}) + t.score END AS score
+  FROM c3 JOIN c2 h ON h.b = c3.a AND h.c = c3.b JOIN twos t ON t.b = c3.b AND t.c = c3.c
+),
+scored AS (
+  SELECT doc_id, count(*) AS n_words,
+    sum(CASE WHEN s = 1 THEN ones.score WHEN s = 2 THEN twos.score ELSE threes.score END) AS score
+  FROM grams LEFT JOIN ones USING (c) LEFT JOIN twos USING (b, c) LEFT JOIN threes USING (a, b, c)
+  GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(score, 3) AS log_score, round(score / n_words, 6) AS mean_log_score
+FROM d LEFT JOIN scored USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {

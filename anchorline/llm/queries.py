@@ -61,6 +61,11 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
 
 
+def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word form of the tenth operator; the entry registers it beside the byte form that SQL fixes."""
+    return lm.word_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_syncmer_fingerprints,
