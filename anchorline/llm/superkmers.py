@@ -14,6 +14,12 @@ Two things keep buckets small however skewed the texts are:
   windows that lie wholly inside it, not those that reach into their texts.
 * Equal super-k-mers are one row with a count: only one copy of each string
   travels.
+* A bucket of more than ``LIMIT`` distinct strings is divided, whatever its share
+  of the corpus: its minimiser, and the k-mers that a sample of its strings have in
+  common, are from then on treated like frequent ones, in every text at once, and
+  its documents are dealt again.  Any such choice is exact, as equal windows still
+  have equal minimisers.  What stays undivided is a bucket whose windows hold nothing
+  but k-mers that were already marked.
 
 Only super-k-mers whose minimiser occurs twice are looked at again; their texts
 are fetched by document, so strings of all others never leave their task.
@@ -46,9 +52,13 @@ from .fingerprints import sliding_min
 
 SLOT_BITS = 16
 SHARE = 8192
+#: distinct strings of a bucket that one task takes, and of which so many are sampled
+LIMIT = 1 << 15
+SAMPLE = 64
 
 _POSITION_BITS = np.uint64(30)
 _FREQUENT = np.uint64(1 << 63)
+NO_KMERS = np.zeros(0, np.uint64)
 
 KEYS = ["id_key", "text_key"]
 LOAD = "slot int, n long"
@@ -64,6 +74,8 @@ _RUNS = pa.schema(
         ("content", pa.int64()),
     ]
 )
+SHARED = "bucket long, kmer long"
+_SHARED = pa.schema([("bucket", pa.int64()), ("kmer", pa.int64())])
 STRINGS = "minimiser long, content long, copies long, first_id long, packed binary"
 _STRINGS = pa.schema(
     [
@@ -136,13 +148,19 @@ def frequent_slots(texts: DataFrame, scheme: Scheme, share: int = SHARE) -> np.n
     return marks
 
 
-def super_kmers(part: Slice, scheme: Scheme, frequent: np.ndarray):
-    """Text number, first token, windows, minimiser and content hash of each run."""
+def super_kmers(part: Slice, scheme: Scheme, frequent: np.ndarray, shared: np.ndarray = NO_KMERS):
+    """Text number, first token, windows, minimiser and content hash of each run.
+
+    ``shared`` are the sorted hashes of k-mers that are marked one by one.
+    """
     tokens, bounds = scheme.tokens(part)
     prefix = Prefix(tokens)
     hashes = prefix.windows(scheme.k)
     order = (hashes >> np.uint64(1)) & ~((np.uint64(1) << _POSITION_BITS) - np.uint64(1))
     order[frequent[_slots(hashes)]] |= _FREQUENT
+    if len(shared):
+        near = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
+        order[shared[near] == hashes] |= _FREQUENT
     order |= np.arange(len(order), dtype=np.uint64)  # the leftmost of equals
     least = sliding_min(order, scheme.window - scheme.k + 1)
     at = (least & ((np.uint64(1) << _POSITION_BITS) - np.uint64(1))).astype(np.int64)
@@ -162,12 +180,12 @@ def super_kmers(part: Slice, scheme: Scheme, frequent: np.ndarray):
     return owner, first - bounds[owner], last - first + 1, minimiser.view(np.int64), content.view(np.int64)
 
 
-def all_runs(texts: DataFrame, scheme: Scheme, frequent: np.ndarray) -> DataFrame:
+def all_runs(texts: DataFrame, scheme: Scheme, frequent: np.ndarray, shared: np.ndarray = NO_KMERS) -> DataFrame:
     """Every super-k-mer of the keyed texts as a small row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            owner, *columns = super_kmers(part, scheme, frequent)
+            owner, *columns = super_kmers(part, scheme, frequent, shared)
             keys = [part.numbers(name)[owner] for name in KEYS]
             yield record_batch(_RUNS, *keys, *columns)
 
@@ -184,13 +202,72 @@ class Repeats:
     strings: DataFrame
 
 
-def repeats(docs: DataFrame, scheme: Scheme) -> Repeats:
+def in_common(texts: DataFrame, scheme: Scheme, buckets: DataFrame) -> DataFrame:
+    """``minimiser``: the k-mers in at least an eighth of a sample of each bucket's strings, and its own.
+
+    ``buckets`` has the sampled strings' ``minimiser, id_key, text_key, start, n_windows``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            for text, picks in zip(part.texts(), part.column("picks").to_pylist(), strict=True):
+                spans = [(p["start"], p["start"] + p["n_windows"] + scheme.window - 1) for p in picks]
+                strings = pa.record_batch({"text": pa.array(scheme.pack(text, spans), pa.binary())})
+                own = iter(picks)
+                for packed in slices([strings]):
+                    tokens, bounds = scheme.tokens(packed)
+                    hashes = Prefix(tokens).windows(scheme.k).view(np.int64)
+                    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                        found = np.unique(hashes[a : b - scheme.k + 1])
+                        yield record_batch(_SHARED, np.full(len(found), next(own)["minimiser"]), found)
+
+    picks = buckets.groupBy(*KEYS).agg(F.collect_list(F.struct("minimiser", "start", "n_windows")).alias("picks"))
+    rows = texts.dropDuplicates(KEYS).join(picks, KEYS).select("text", "picks").mapInArrow(run, SHARED)
+    common = rows.groupBy("bucket", "kmer").count().where(F.col("count") >= SAMPLE // 8)
+    return common.select(F.col("kmer").alias("minimiser")).unionAll(buckets.select("minimiser")).distinct()
+
+
+def dealt_runs(texts: DataFrame, scheme: Scheme, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """All super-k-mers, and the minimisers that occur more than once.
+
+    Buckets of more than ``limit`` distinct strings are dealt again until only those
+    are left that can't be divided.  The marked k-mers come to the driver: some for
+    every ``limit`` strings of the corpus.
+    """
+    frequent, shared = frequent_slots(texts.select("text"), scheme), NO_KMERS
+    every = stage(all_runs(texts, scheme, frequent), "runs")
+    while True:
+        # stored, so that the join has plain shuffles on both sides and hot partitions can be split
+        often = stage(every.groupBy("minimiser").count().where("count > 1"), "repeated-minimisers")
+        large = [row.minimiser for row in often.where(F.col("count") > limit).select("minimiser").collect()]
+        large = np.array(large, np.int64).view(np.uint64)
+        large = np.setdiff1d(large[~frequent[_slots(large)]], shared)
+        if not len(large):
+            return every, often.select("minimiser")
+        spark = texts.sparkSession
+        asked = spark.createDataFrame([(int(m),) for m in large.view(np.int64)], "minimiser long")
+        place = F.struct("id_key", "text_key", "start", "n_windows")
+        strings = every.join(F.broadcast(asked), "minimiser").groupBy("minimiser", "content").agg(F.min(place).alias("at"))
+        sampled = strings.groupBy("minimiser", F.pmod(F.xxhash64("content"), F.lit(SAMPLE)).alias("slot")).agg(
+            F.count(F.lit(1)).alias("n"), F.min_by("at", "content").alias("at")
+        )
+        sampled = stage(sampled, "sampled-strings")
+        divided = sampled.groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("minimiser")
+        buckets = sampled.join(divided, "minimiser").select("minimiser", "at.*")
+        fresh = [row.minimiser for row in in_common(texts, scheme, buckets).collect()]
+        if not fresh:
+            return every, often.select("minimiser")
+        shared = np.union1d(shared, np.array(fresh, np.int64).view(np.uint64))
+        moved = spark.createDataFrame([(m,) for m in fresh], "minimiser long")
+        concerned = stage(every.join(F.broadcast(moved), "minimiser").select(*KEYS).distinct(), "dealt-again")
+        again = all_runs(texts.join(concerned, KEYS, "left_semi"), scheme, frequent, shared)
+        every = stage(every.join(concerned, KEYS, "left_anti").unionAll(again), "runs")
+
+
+def repeats(docs: DataFrame, scheme: Scheme, limit: int = LIMIT) -> Repeats:
     """Find the super-k-mers with a minimiser that occurs more than once."""
     texts = keyed_text(docs)
-    frequent = frequent_slots(texts.select("text"), scheme)
-    every = stage(all_runs(texts, scheme, frequent), "runs")
-    # stored, so that the join has plain shuffles on both sides and hot partitions can be split
-    often = stage(every.groupBy("minimiser").count().where("count > 1").select("minimiser"), "repeated-minimisers")
+    every, often = dealt_runs(texts, scheme, limit)
     runs = stage(every.join(often, "minimiser"), "repeated-runs")
 
     # one copy of each string, from the document that comes first
