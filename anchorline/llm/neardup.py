@@ -21,8 +21,12 @@ with one random centre per bucket, and at last each member outside its bucket's
 largest component with the bucket's others, so that no candidate link between
 components goes untested.
 
-That last comparison is made inside the bucket's task, on signatures: batches of
-members are compared at once, and only pairs that survive the pruning leave it.
+That last comparison is made on signatures, and only pairs that survive the
+pruning leave its task.  A bucket of more than ``BLOCK`` members is cut into blocks of
+about that size, and every pair of blocks is a group of rows of its own: no task holds a
+bucket that grows with the corpus, and one bucket's comparisons are spread over many
+tasks.  Their number still grows with the members outside the largest component
+times all members.
 
 Defined results: a NULL, empty or blank text has no shingles and is a component
 of its own; a text of fewer words than a shingle has one, all its words; rows of
@@ -67,6 +71,8 @@ MISS = 1e-8
 #: star rounds go on while the last comparison would have more pairs than this
 #: per class that is left, and at most so many times
 PAIRS_PER_CLASS, ROUNDS = 4, 8
+#: members of a bucket that are compared with each other, or with as many others, at once
+BLOCK = 4096
 #: Counted links and labels that one task takes.
 PER_TASK = 200_000
 
@@ -242,15 +248,19 @@ def _plausible(rule: Rule):
     return run
 
 
-def plausible_pairs(nodes: np.ndarray, roots: np.ndarray, main: int, signatures: np.ndarray, bounds: list[int]):
+def plausible_pairs(
+    nodes: np.ndarray, roots: np.ndarray, main: int, signatures: np.ndarray, bounds: list[int], blocks: np.ndarray | None = None
+):
     """Pairs of one bucket's nodes of different components, at least one of them outside
-    ``main``, that their signatures leave possible."""
+    ``main``, that their signatures leave possible; with ``blocks`` only of different blocks."""
     minor = np.flatnonzero(roots != main)
     step = max(1, 200_000 // len(nodes))
     for at in range(0, len(minor), step):
         some = minor[at : at + step]
         x_root, x_node = roots[some, None], nodes[some, None]
         open_pairs = (roots[None] != x_root) & ((roots[None] == main) | (x_node < nodes[None]))
+        if blocks is not None:
+            open_pairs &= blocks[some, None] != blocks[None]
         x, y = np.nonzero(open_pairs)
         x = some[x]
         matches = np.zeros(len(x), np.int64)
@@ -266,22 +276,44 @@ def _compared(rule: Rule):
     bounds = least_matches(rule.percent)
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, nodes, roots, main = (table.column(c).to_numpy() for c in ("key", "node", "root", "main"))
+        cells = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")])
+        nodes, roots, main, blocks = (table.column(c).to_numpy() for c in ("node", "root", "main", "block"))
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SIGNATURE)
-        edges = np.flatnonzero(np.diff(keys)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+        edges = np.flatnonzero((np.diff(cells) != 0).any(0)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(nodes)], strict=True):
             own = slice(a, b)
-            for low, high in plausible_pairs(nodes[own], roots[own], main[a], signatures[own], bounds):
+            across = blocks[own] if cells[1, a] != cells[2, a] else None
+            for low, high in plausible_pairs(nodes[own], roots[own], main[a], signatures[own], bounds, across):
                 if len(low):
                     yield record_batch(_PAIRS, low, high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key"):
+        for table in whole_groups(batches, "cell"):
             yield from work(table)
 
     return run
 
 
+def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``members`` once for every pair of blocks, ``low`` and ``high``, that they are compared in.
+
+    A bucket of at most ``block`` members is one block.  In others the members outside
+    the largest component fill the first blocks, which meet each other and all others;
+    those of the largest component fill the rest, which meet the first ones only.
+    """
+    small = F.col("members") <= block
+    minor = F.ceil((F.col("members") - F.col("most")) / block)
+    major = F.ceil(F.col("most") / block)
+    inside = F.col("root") == F.col("main")
+    draw = F.xxhash64("node", F.lit("block"))
+    own = F.when(small, F.lit(0)).when(inside, minor + F.pmod(draw, major)).otherwise(F.pmod(draw, minor))
+    others = F.when(small, F.lit(1)).when(inside, minor).otherwise(minor + major)
+    met = F.explode(F.sequence(F.lit(0).cast("long"), others.cast("long") - 1))
+    placed = members.withColumn("block", own.cast("long")).withColumn("met", met)
+    low, high = F.least("block", "met"), F.greatest("block", "met")
+    return placed.withColumns({"low": low, "high": high}).withColumn("cell", F.xxhash64("key", "low", "high"))
+
+
 def _verified(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, left in unpacked(batches, "packed_a", rule.words):
@@ -316,15 +348,19 @@ class Classes:
         fetched = in_tasks_of(fetched, alive.count(), 1000)
         return stage(fetched.mapInArrow(_verified(self.rule), PAIRS), "links")
 
-    def last_links(self, rest: DataFrame, largest: DataFrame) -> DataFrame:
+    def last_links(self, rest: DataFrame, largest: DataFrame, block: int = BLOCK) -> DataFrame:
         """Links between nodes of different components that share an open bucket.
 
         ``rest`` has the open buckets' ``key, node, root``, ``largest`` the root of
-        each bucket's largest component as ``main``.
+        each bucket's largest component as ``main``, its nodes there as ``most``, and
+        the bucket's as ``members``.
         """
-        members = rest.join(largest.select("key", "main"), "key").join(self.sketches.select("node", "signature"), "node")
-        dealt = members.repartition(parallelism(rest.sparkSession), "key").sortWithinPartitions("key", "node")
-        pairs = dealt.select("key", "node", "root", "main", "signature").mapInArrow(_compared(self.rule), PAIRS)
+        sized = in_blocks(rest.join(largest.select("key", "main", "members", "most"), "key"), block)
+        members = sized.select("cell", "key", "low", "high", "block", "node", "root", "main")
+        signed = members.join(self.sketches.select("node", "signature"), "node")
+        dealt = signed.repartition(parallelism(rest.sparkSession), "cell")
+        ordered = dealt.sortWithinPartitions("cell", "key", "low", "high", "node")
+        pairs = ordered.mapInArrow(_compared(self.rule), PAIRS)
         return self.verified(stage(pairs.distinct(), "plausible"))
 
 
