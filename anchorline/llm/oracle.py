@@ -200,6 +200,40 @@ FROM d LEFT JOIN scored USING (doc_id)
 """
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = f"""
+WITH d AS (
+  SELECT number, doc_id, w, len(w) AS n
+  FROM (SELECT row_number() OVER () AS number, doc_id, {_words(_LOW, _TERM)} AS w FROM documents)
+  WHERE len(w) > 0
+),
+b AS (SELECT item_id, unnest({_words(_LOW, _TERM)}) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS repeats FROM b GROUP BY ALL),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+tf AS (
+  SELECT number, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT number, doc_id, n, unnest(w) AS term FROM d) SEMI JOIN q USING (term)
+  GROUP BY ALL
+),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+),
+scored AS (
+  SELECT item_id, number, doc_id,
+    sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN weight USING (term), total
+  GROUP BY item_id, number, doc_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place
+  FROM scored WHERE score > 0
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_wu_manber": OP3,
@@ -207,4 +241,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_interval_tree": OP8,
         "op9_bayesian_minhash": OP9,
         "op10_stupid_backoff": OP10,
+        "op13_blocked_search": OP13,
     }

@@ -14,6 +14,7 @@ from . import (
     lm,
     neardup,
     packing,
+    search,
     sharding,
     substrings,
     suffixes,
@@ -66,6 +67,10 @@ def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.word_report(table(spark, sf_dir, "documents"))
 
 
+def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_syncmer_fingerprints,
@@ -78,5 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_interval_tree,
         op9_bayesian_minhash,
         op10_stupid_backoff,
+        op13_blocked_search,
     ]
     return {query.__name__: query for query in found}
