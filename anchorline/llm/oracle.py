@@ -200,6 +200,56 @@ FROM d LEFT JOIN scored USING (doc_id)
 """
 
 
+#: CRC-32 of the ASCII digits of an id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda c, bit: xor(c >> 1, (c & 1) * 3988292384))
+))"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS number, doc_id, {_words("text", _WORD)} AS w,
+    CASE WHEN doc_id IS NOT NULL THEN {_CRC} END AS h
+  FROM documents
+),
+u AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+v AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM u),
+d AS (
+  SELECT number, doc_id, n,
+    CASE WHEN a IS NULL THEN w
+    ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w
+  FROM v
+),
+words AS (SELECT number, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+matches AS (
+  SELECT x.number, x.i, y.i - x.i AS q
+  FROM words x JOIN words y ON x.number = y.number AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4
+),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY number, q ORDER BY i) AS island FROM matches),
+stretches AS (
+  SELECT number, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY number, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)
+),
+runs AS (
+  SELECT * FROM stretches x WHERE NOT EXISTS (
+    FROM stretches y WHERE y.number = x.number AND y.q < x.q AND x.q % y.q = 0
+      AND y.start <= x.start AND y.start + y.length >= x.start + x.length)
+),
+listed AS (
+  SELECT number, count(*) AS n_runs, string_agg(concat_ws(',', start, length, q) || chr(10), '' ORDER BY start, q) AS lines,
+    min((-length, start, q)) AS top
+  FROM runs GROUP BY number
+),
+gone AS (SELECT DISTINCT number, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (
+  SELECT number, string_agg(word, ' ' ORDER BY i) AS rest FROM words ANTI JOIN gone USING (number, i) GROUP BY number
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top[2] AS start, -top[1] AS length, top[3] AS period,
+  (-1000 * top[1]) // top[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (number) LEFT JOIN kept USING (number)
+"""
+
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 OP13 = f"""
@@ -241,5 +291,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_interval_tree": OP8,
         "op9_bayesian_minhash": OP9,
         "op10_stupid_backoff": OP10,
+        "op12_tiled_runs": OP12,
         "op13_blocked_search": OP13,
     }

@@ -14,6 +14,7 @@ from . import (
     lm,
     neardup,
     packing,
+    runs,
     search,
     sharding,
     substrings,
@@ -67,6 +68,10 @@ def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.word_report(table(spark, sf_dir, "documents"))
 
 
+def op12_tiled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_interval_tree,
         op9_bayesian_minhash,
         op10_stupid_backoff,
+        op12_tiled_runs,
         op13_blocked_search,
     ]
     return {query.__name__: query for query in found}
