@@ -134,6 +134,17 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(first, doc_i
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN firsts USING (doc_id)
 """
 
+#: The same over shingles of five words, without the verdict.
+OP11 = (
+    OP9.replace("w[s : s + 1]", "w[s : s + 4]")
+    .replace("greatest(len(w), 2)", "greatest(len(w) - 3, 2)")
+    .replace(
+        """ AS component_id,
+  doc_id = least(doc_id, coalesce(first, doc_id)) AS kept""",
+        " AS component_id",
+    )
+)
+
 OP10 = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 places AS (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS s FROM d),
@@ -291,6 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_interval_tree": OP8,
         "op9_bayesian_minhash": OP9,
         "op10_stupid_backoff": OP10,
+        "op11_prefix_join": OP11,
         "op12_tiled_runs": OP12,
         "op13_blocked_search": OP13,
     }

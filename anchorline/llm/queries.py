@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     decontaminate,
     fingerprints,
+    jaccard,
     language,
     licenses,
     lm,
@@ -68,6 +69,10 @@ def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.word_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op12_tiled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(table(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_interval_tree,
         op9_bayesian_minhash,
         op10_stupid_backoff,
+        op11_prefix_join,
         op12_tiled_runs,
         op13_blocked_search,
     ]
