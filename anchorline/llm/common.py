@@ -68,6 +68,7 @@ def row_keys() -> tuple[Column, Column]:
 
 def keyed_text(docs: DataFrame) -> DataFrame:
     """``doc_id, id_key, text_key, text``; rows equal in both keys get equal results."""
+    ship(docs.sparkSession)
     id_key, text_key = row_keys()
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -77,6 +78,23 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, changed where ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class Slice:
     """Consecutive rows of a batch: their text as one byte array with offsets."""
 
@@ -220,6 +238,7 @@ def passing(docs: DataFrame, chooser: Callable[[], Callable[[Slice], list[bool]]
         for part in slices(batches):
             yield part.batch.slice(part.lo, len(part)).filter(pa.array(choose(part), pa.bool_()))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism, record_batch, ship, slices, stage, whole_groups
-from .linking import linked_roots
-from .neardup import Rule, set_hash, shingle_sets
+from .linking import linked_roots, named
+from .neardup import Rule, node_of, shingle_sets
 
 #: Text that one packed row of n-grams comes from.
 SLICE = 4 << 20
@@ -78,10 +78,6 @@ _SETS = pa.schema(
 )
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(set_hash(shingles)[:8], "little", signed=True)
-
-
 def _classes_of(part, words: int) -> tuple[list, list, dict[int, np.ndarray]]:
     """Set sizes and nodes of the slice's documents, and the set of every node."""
     sizes, nodes, sets = [], [], {}
@@ -373,19 +369,5 @@ def report(docs: DataFrame, rule: Rule = Rule(words=5)) -> DataFrame:
     described = stage(texts.mapInArrow(_described(rule), ROWS), "described")
     sets = sets_with_links(texts, described, rule)
     buckets = sets.select("node", "n", F.inline("posted"))
-    roots = linked_roots(buckets, sets.select("node", "n", "grams"), SetComparer(rule))
+    roots = linked_roots(buckets, lambda nodes: sets.drop("posted").join(nodes, "node", "left_semi"), SetComparer(rule))
     return named(described.select("doc_id", "n", "node"), roots).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-
-
-def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with ``component_id``, the smallest id of all rows of one root.
-
-    Rows of a node without a root are a component of their own; a row without a node is
-    one alone.
-    """
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    own = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = own.groupBy("root").agg(F.min("least").alias("component"))
-    found = own.join(firsts, "root").select("node", F.col("root"), "component")
-    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return rows.join(found, "node", "left").withColumn("component_id", alone).drop("component")

@@ -22,7 +22,7 @@ pairs:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -245,14 +245,16 @@ def _opened(rest: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rest.select("key", "node"), stage(regions.withColumn("key", F.col("main")), "regions")
 
 
-def linked_roots(buckets: DataFrame, members: DataFrame, comparer: Comparer, block: int = BLOCK) -> DataFrame:
+def linked_roots(
+    buckets: DataFrame, members: Callable[[DataFrame], DataFrame], comparer: Comparer, block: int = BLOCK
+) -> DataFrame:
     """``node, root`` of all nodes that have a link; nodes of one component share a root.
 
-    ``buckets`` has ``key, node`` and what ``comparer.formed`` reads, ``members`` has
-    ``node`` and the comparer's columns.
+    ``buckets`` has ``key, node`` and what ``comparer.formed`` reads; ``members`` gives
+    the given nodes with the comparer's columns.
     """
     rest = distinct_buckets(buckets)
-    held = stage(members.join(rest.select("node").distinct(), "node", "left_semi"), "members")
+    held = stage(members(rest.select("node").distinct()), "members")
     first = [F.min_by(c, "node").alias(f"{c}_c") for c in rest.columns if c != "key"]
     met = rest.join(rest.groupBy("key").agg(*first), "key").where(F.col("node") != F.col("node_c"))
     nearest = met.where(comparer.formed("", "_c")).groupBy("node").agg(F.min("node_c").alias("node_c"))
@@ -280,3 +282,17 @@ def linked_roots(buckets: DataFrame, members: DataFrame, comparer: Comparer, blo
     dealt = cells.join(held, "node").repartition(parallelism(cells.sparkSession), "cell")
     found = dealt.sortWithinPartitions("cell", "key", "low", "high", "node").mapInArrow(_in_regions(comparer), LINKS)
     return _composed(roots, components(found))
+
+
+def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``root`` and ``component_id``, the smallest id of all rows of one root.
+
+    Rows of a node without a root are a component of their own; a row without a node is
+    one alone.
+    """
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    own = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = own.groupBy("root").agg(F.min("least").alias("component"))
+    found = own.join(firsts, "root").select("node", "root", "component")
+    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return rows.join(found, "node", "left").withColumn("component_id", alone).drop("component")

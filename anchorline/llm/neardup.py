@@ -4,34 +4,28 @@ A document's set is its distinct shingles of ``words`` words.  Documents whose
 sets have a Jaccard index of at least ``percent`` are linked, and linked
 documents form components.
 
-1. Documents with equal sets are one *class*, which its smallest id names.
+1. Documents with equal sets are one *class*, whatever their ids; a hash of the set
+   names it.
 2. A class has ``BANDS`` band keys of ``ROWS`` min-hashes each.  Classes that
    share a key are candidates; at the threshold of 80 % a pair shares none with
    a probability of 3e-8.
-3. Candidate pairs are compared by batches of their signatures: with a uniform
+3. Candidates are joined by ``linking``.  Those whose set sizes exclude a link are
+   left out; the others are compared by batches of their signatures: with a uniform
    prior the posterior of the Jaccard index is a beta distribution, and a pair
    is pruned as soon as it is at the threshold or above with a probability
    below ``MISS``.
-4. Survivors are verified on their full sets.
-
-A bucket of candidates is never expanded into all its pairs.  First each class is
-compared with one centre; what links becomes a component.  Then only candidates
-of *different* components need to be compared: while there are many, in rounds
-with one random centre per bucket, and at last each member outside its bucket's
-largest component with the bucket's others, so that no candidate link between
-components goes untested.
-
-That last comparison is made on signatures, and only pairs that survive the
-pruning leave its task.  A bucket of more than ``BLOCK`` members is cut into blocks of
-about that size, and every pair of blocks is a group of rows of its own: no task holds a
-bucket that grows with the corpus, and one bucket's comparisons are spread over many
-tasks.  Their number still grows with the members outside the largest component
-times all members.
+4. Survivors are verified on their full sets, inside the same task.
+
+A bucket of candidates is never expanded into all its pairs, and what leaves a task are
+links, at most one for each component that came in (see ``linking``).  The comparisons
+of the last step still grow with the members of a region outside its largest component
+times all its members; they are spread over tasks by blocks.
 
 Defined results: a NULL, empty or blank text has no shingles and is a component
-of its own; a text of fewer words than a shingle has one, all its words; rows of
-one id are one document; repeated rows get equal results; a row without an id
-counts as the largest id; other columns are ignored.
+of its own; a text of fewer words than a shingle has one, all its words; each row is a
+document, and rows of one id are not linked by it; a component is named by its smallest
+id, a component without any id has none; repeated rows get equal results; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -44,38 +38,27 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
     LOWER,
-    NO_ID,
     NOT_SPACE,
     Prefix,
     Slice,
-    in_tasks_of,
     keyed_text,
-    parallelism,
     record_batch,
     slices,
     stage,
-    whole_groups,
     word_hashes,
     word_spans,
 )
+from .linking import linked_roots, named
 
 ROWS, BANDS = 5, 44
 #: min-hashes of a signature, compared in batches
 SIGNATURE, BATCH = 96, 16
 MISS = 1e-8
-#: star rounds go on while the last comparison would have more pairs than this
-#: per class that is left, and at most so many times
-PAIRS_PER_CLASS, ROUNDS = 4, 8
-#: members of a bucket that are compared with each other, or with as many others, at once
-BLOCK = 4096
-#: Counted links and labels that one task takes.
-PER_TASK = 200_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -104,8 +87,9 @@ def shingle_sets(part: Slice, words: int) -> Iterator[np.ndarray]:
             yield hashes[:0]
 
 
-def set_hash(shingles: np.ndarray) -> bytes:
-    return blake2b(shingles.tobytes(), digest_size=16).digest()
+def node_of(shingles: np.ndarray) -> int:
+    """The name of the class of one set."""
+    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 class MinHashes:
@@ -137,56 +121,45 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return Prefix(table.ravel()).spans(starts, starts + width).view(np.int64)
 
 
-CLASSES = "set_hash binary, id_key long, text_key long, n long, bands array<long>, signature binary"
-_CLASSES = pa.schema(
+ROWS_OF = "doc_id long, id_key long, text_key long, n long, node long, bands array<long>, signature binary"
+_ROWS_OF = pa.schema(
     [
-        ("set_hash", pa.binary()),
+        ("doc_id", pa.int64()),
         ("id_key", pa.int64()),
         ("text_key", pa.int64()),
         ("n", pa.int64()),
+        ("node", pa.int64()),
         ("bands", pa.list_(pa.int64())),
         ("signature", pa.binary()),
     ]
 )
-SIZES = "doc_id long, id_key long, n long, set_hash binary"
-_SIZES = pa.schema([("doc_id", pa.int64()), ("id_key", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary())])
 
 
 def _sketch(rule: Rule):
+    """Every row's set size and class; bands and signature at a class's first row in the slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhashes = MinHashes()
         for part in slices(batches):
-            rows: dict[bytes, list] = {}  # a set that comes again in the slice goes once
-            keys = zip(part.numbers("id_key").tolist(), part.numbers("text_key").tolist(), strict=True)
-            for key, shingles in zip(keys, shingle_sets(part, rule.words), strict=True):
-                if not len(shingles):
-                    continue
-                digest = set_hash(shingles)
-                if digest in rows:
-                    rows[digest][:2] = min(tuple(rows[digest][:2]), key)
+            seen: set[int] = set()
+            rows = []
+            for shingles in shingle_sets(part, rule.words):
+                node = node_of(shingles) if len(shingles) else None
+                if node is None or node in seen:
+                    rows.append((len(shingles), node, None, None))
                     continue
+                seen.add(node)
                 least = minhashes(shingles)
-                signature = least[:SIGNATURE].astype(np.uint16).tobytes()
-                rows[digest] = [*key, len(shingles), band_keys(least), signature]
-            columns = [[row[i] for row in rows.values()] for i in range(5)]
-            yield record_batch(_CLASSES, list(rows), *columns)
-
-    return run
-
-
-def _sizes(rule: Rule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [(len(s), set_hash(s) if len(s) else None) for s in shingle_sets(part, rule.words)]
-            n, digests = zip(*sets, strict=True)
-            yield record_batch(_SIZES, part.column("doc_id"), part.column("id_key"), list(n), list(digests))
+                rows.append((len(shingles), node, band_keys(least), least[:SIGNATURE].astype(np.uint16).tobytes()))
+            keys = [part.column(c) for c in ("doc_id", "id_key", "text_key")]
+            yield record_batch(_ROWS_OF, *keys, *(list(c) for c in zip(*rows, strict=True)))
 
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they are sent and kept."""
-    schema = pa.schema([("node", pa.int64()), ("text_key", pa.int64()), ("packed", pa.binary())])
+    schema = pa.schema([("id_key", pa.int64()), ("text_key", pa.int64()), ("packed", pa.binary())])
     press = zstandard.ZstdCompressor(level=1)
     for part in slices(batches):
         packed = [press.compress(text) for text in part.texts()]
@@ -210,262 +183,77 @@ def least_matches(percent: int, miss: float = MISS) -> list[int]:
     return bounds
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], column: str, words: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches of at most 256 rows with the shingle sets of a column of compressed texts."""
-    press = zstandard.ZstdDecompressor()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            packed = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            texts = pa.array([press.decompress(p) for p in packed], pa.binary())
-            parts = slices([pa.RecordBatch.from_arrays([texts], ["text"])])
-            yield batch, [s for part in parts for s in shingle_sets(part, words)]
+class Signed:
+    """Signatures and, on demand, the full sets of some classes inside a task."""
 
+    def __init__(self, rule: Rule, table: pa.Table):
+        self.rule, self.bounds = rule, least_matches(rule.percent)
+        self.n = table.column("n").to_numpy()
+        self.signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SIGNATURE)
+        self.packed = table.column("packed")
+        self.sets: dict[int, np.ndarray] = {}
 
-PAIRS = "a long, b long"
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _plausible(rule: Rule):
-    bounds = least_matches(rule.percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SIGNATURE)
-                for c in ("signature_a", "signature_b")
-            )
-            alive = np.arange(batch.num_rows)
-            matches = np.zeros(batch.num_rows, np.int64)
-            for step, bound in enumerate(bounds):
-                columns = slice(step * BATCH, (step + 1) * BATCH)
-                matches[alive] += (left[alive, columns] == right[alive, columns]).sum(1)
-                alive = alive[matches[alive] >= bound]
-            yield record_batch(_PAIRS, *(batch.column(c).take(pa.array(alive)) for c in ("a", "b")))
-
-    return run
-
-
-def plausible_pairs(
-    nodes: np.ndarray, roots: np.ndarray, main: int, signatures: np.ndarray, bounds: list[int], blocks: np.ndarray | None = None
-):
-    """Pairs of one bucket's nodes of different components, at least one of them outside
-    ``main``, that their signatures leave possible; with ``blocks`` only of different blocks."""
-    minor = np.flatnonzero(roots != main)
-    step = max(1, 200_000 // len(nodes))
-    for at in range(0, len(minor), step):
-        some = minor[at : at + step]
-        x_root, x_node = roots[some, None], nodes[some, None]
-        open_pairs = (roots[None] != x_root) & ((roots[None] == main) | (x_node < nodes[None]))
-        if blocks is not None:
-            open_pairs &= blocks[some, None] != blocks[None]
-        x, y = np.nonzero(open_pairs)
-        x = some[x]
+    def possible(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        alive = 100 * np.minimum(self.n[x], self.n[y]) >= self.rule.percent * np.maximum(self.n[x], self.n[y])
+        x, y = x[alive], y[alive]
         matches = np.zeros(len(x), np.int64)
-        for turn, bound in enumerate(bounds):
+        for turn, bound in enumerate(self.bounds):
             columns = slice(turn * BATCH, (turn + 1) * BATCH)
-            matches += (signatures[x, columns] == signatures[y, columns]).sum(1)
+            matches += (self.signatures[x, columns] == self.signatures[y, columns]).sum(1)
             alive = matches >= bound
             x, y, matches = x[alive], y[alive], matches[alive]
-        yield np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y])
+        return x, y
 
+    def prepare(self, rows: np.ndarray) -> None:
+        fresh = [i for i in rows.tolist() if i not in self.sets]
+        press = zstandard.ZstdDecompressor()
+        texts = pa.array([press.decompress(self.packed[i].as_py()) for i in fresh], pa.large_binary())
+        parts = slices([pa.RecordBatch.from_arrays([texts], ["text"])])
+        self.sets.update(zip(fresh, (s for part in parts for s in shingle_sets(part, self.rule.words)), strict=True))
 
-def _compared(rule: Rule):
-    bounds = least_matches(rule.percent)
+    def linked(self, x: int, y: int) -> bool:
+        return self.rule.linked(self.sets[x], self.sets[y])
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cells = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")])
-        nodes, roots, main, blocks = (table.column(c).to_numpy() for c in ("node", "root", "main", "block"))
-        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SIGNATURE)
-        edges = np.flatnonzero((np.diff(cells) != 0).any(0)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(nodes)], strict=True):
-            own = slice(a, b)
-            across = blocks[own] if cells[1, a] != cells[2, a] else None
-            for low, high in plausible_pairs(nodes[own], roots[own], main[a], signatures[own], bounds, across):
-                if len(low):
-                    yield record_batch(_PAIRS, low, high)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "cell"):
-            yield from work(table)
 
-    return run
-
-
-def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``members`` once for every pair of blocks, ``low`` and ``high``, that they are compared in.
+@dataclass(frozen=True)
+class SignatureComparer:
+    rule: Rule
 
-    A bucket of at most ``block`` members is one block.  In others the members outside
-    the largest component fill the first blocks, which meet each other and all others;
-    those of the largest component fill the rest, which meet the first ones only.
-    """
-    small = F.col("members") <= block
-    minor = F.ceil((F.col("members") - F.col("most")) / block)
-    major = F.ceil(F.col("most") / block)
-    inside = F.col("root") == F.col("main")
-    draw = F.xxhash64("node", F.lit("block"))
-    own = F.when(small, F.lit(0)).when(inside, minor + F.pmod(draw, major)).otherwise(F.pmod(draw, minor))
-    others = F.when(small, F.lit(1)).when(inside, minor).otherwise(minor + major)
-    met = F.explode(F.sequence(F.lit(0).cast("long"), others.cast("long") - 1))
-    placed = members.withColumn("block", own.cast("long")).withColumn("met", met)
-    low, high = F.least("block", "met"), F.greatest("block", "met")
-    return placed.withColumns({"low": low, "high": high}).withColumn("cell", F.xxhash64("key", "low", "high"))
-
-
-def _verified(rule: Rule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, left in unpacked(batches, "packed_a", rule.words):
-            for _, right in unpacked([batch], "packed_b", rule.words):
-                found = pa.array([rule.linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
-                yield record_batch(_PAIRS, batch.column("a").filter(found), batch.column("b").filter(found))
+    columns = ["n", "signature", "packed"]
 
-    return run
+    def load(self, table: pa.Table) -> Signed:
+        return Signed(self.rule, table)
 
+    def formed(self, a: str, b: str) -> Column:
+        return F.lit(True)
 
-@dataclass(frozen=True)
-class Classes:
-    """Sketched classes, their shared band keys, and the texts behind them."""
 
-    rule: Rule
-    sketches: DataFrame
-    buckets: DataFrame
-    texts: DataFrame
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are linked: pruned by signature, then verified."""
-        signed = self.sketches.select("node", "signature")
-        a, b = (signed.toDF(c, f"signature_{c}") for c in "ab")
-        compared = pairs.join(a, "a").join(b, "b").select("a", "b", "signature_a", "signature_b")
-        compared = in_tasks_of(compared, pairs.count(), 50_000)
-        return self.verified(stage(compared.mapInArrow(_plausible(self.rule), PAIRS), "plausible"))
-
-    def verified(self, alive: DataFrame) -> DataFrame:
-        """The pairs that are linked by their full sets."""
-        a, b = (self.texts.toDF(c, f"packed_{c}") for c in "ab")
-        fetched = alive.join(a, "a").join(b, "b").select("a", "b", "packed_a", "packed_b")
-        fetched = in_tasks_of(fetched, alive.count(), 1000)
-        return stage(fetched.mapInArrow(_verified(self.rule), PAIRS), "links")
-
-    def last_links(self, rest: DataFrame, largest: DataFrame, block: int = BLOCK) -> DataFrame:
-        """Links between nodes of different components that share an open bucket.
-
-        ``rest`` has the open buckets' ``key, node, root``, ``largest`` the root of
-        each bucket's largest component as ``main``, its nodes there as ``most``, and
-        the bucket's as ``members``.
-        """
-        sized = in_blocks(rest.join(largest.select("key", "main", "members", "most"), "key"), block)
-        members = sized.select("cell", "key", "low", "high", "block", "node", "root", "main")
-        signed = members.join(self.sketches.select("node", "signature"), "node")
-        dealt = signed.repartition(parallelism(rest.sparkSession), "cell")
-        ordered = dealt.sortWithinPartitions("cell", "key", "low", "high", "node")
-        pairs = ordered.mapInArrow(_compared(self.rule), PAIRS)
-        return self.verified(stage(pairs.distinct(), "plausible"))
-
-
-def sketch(docs: DataFrame, rule: Rule) -> Classes:
+def sketch(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, id_key, text_key, n, node`` of every row, and ``node, root`` of the classes with a link."""
     texts = keyed_text(docs)
-    rows = texts.select("id_key", "text_key", "text").mapInArrow(_sketch(rule), CLASSES)
-    classes = rows.groupBy("set_hash").agg(
-        F.min("id_key").alias("node"),
-        F.min_by("text_key", "id_key").alias("text_key"),
-        F.first("bands").alias("bands"),
-        F.first("signature").alias("signature"),
+    keyed = texts.select("id_key", "text_key", "text")
+    rows = stage(texts.mapInArrow(_sketch(rule), ROWS_OF), "rows")
+    classes = rows.where("bands is not null").groupBy("node").agg(
+        F.min(F.struct("id_key", "text_key")).alias("row"),
+        *[F.first(c).alias(c) for c in ("n", "bands", "signature")],
     )
     classes = stage(classes, "classes")
-    keys = classes.select("node", "text_key", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
-    buckets = stage(keys.join(shared, "key"), "buckets")
-    wanted = buckets.select("node", "text_key").distinct()
-    packed = texts.select("id_key", "text_key", "text").mapInArrow(_packed, "node long, text_key long, packed binary")
-    fetched = packed.join(wanted, ["node", "text_key"]).select("node", "packed")
-    return Classes(rule, classes.select("node", "set_hash", "signature"), buckets.select("key", "node"), stage(fetched, "texts"))
 
+    def members(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes, "node", "left_semi").select("row.*", "node", "n", "signature")
+        packed = keyed.mapInArrow(_packed, "id_key long, text_key long, packed binary")
+        found = packed.join(wanted, ["id_key", "text_key"]).groupBy("node")  # repeated rows come several times
+        return found.agg(*[F.first(c).alias(c) for c in SignatureComparer.columns])
 
-def components(links: DataFrame, seed: int = 0) -> DataFrame:
-    """``node, root``: nodes of one component share a root.
-
-    Each step contracts every node to the first of its neighbours and itself: by
-    id in the first step, which collapses stars around their smallest id, then
-    in an order drawn anew, which leaves a constant share on average.
-    """
-    roots = None
-    step = seed
-    edges = stage(links.where("a <> b").distinct(), "edges")
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return stage(in_tasks_of(df, first, PER_TASK), name)
-
-    first = size = edges.count()
-    while size:
-        both = edges.unionAll(edges.select("b", "a"))
-        rank = F.xxhash64(F.col("b"), F.lit(step)) if step else F.col("b")
-        own = F.xxhash64(F.col("a"), F.lit(step)) if step else F.col("a")
-        best = both.groupBy("a").agg(F.min(rank).alias("rank"), F.min_by("b", rank).alias("b"))
-        target = F.when(F.col("rank") < own, F.col("b")).otherwise(F.col("a"))
-        to = kept(best.select(F.col("a").alias("node"), target.alias("to")), "contracted")
-        if roots is None:
-            roots = to.withColumnRenamed("to", "root")
-        else:
-            step_to = to.toDF("root", "to")
-            roots = roots.join(step_to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        a, b = to.toDF("a", "to_a"), to.toDF("b", "to_b")
-        moved = edges.join(a, "a").join(b, "b").where("to_a <> to_b")
-        edges = kept(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "edges")
-        size = edges.count()
-        step += 1
-    if roots is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    return kept(roots, "roots")  # the steps' small maps joined one after the other
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def linked_components(found: Classes) -> DataFrame:
-    """``node, root`` over all links between candidate classes."""
-    centre = found.buckets.groupBy("key").agg(F.min("node").alias("centre"))
-    nearest = found.buckets.join(centre, "key").where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
-    tested = stage(nearest.select(*_ordered("node", "centre")), "pairs")
-    links = found.links(tested)
-    roots = components(links)
-    for turn in range(1, ROUNDS + 2):
-        labelled = found.buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rest = stage(labelled.join(open_keys.select("key"), "key"), "open-buckets")
-        by_root = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"))
-        cost = largest.agg(F.sum((F.col("members") - F.col("most")) * F.col("members"))).first()[0]
-        if not cost:
-            break
-        nodes = rest.select("node").distinct().count()
-        last = turn > ROUNDS or cost <= PAIRS_PER_CLASS * BANDS * nodes
-        if last:
-            return components(links.unionAll(found.last_links(rest, largest)))
-        drawn = rest.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
-        met = rest.join(drawn, "key").where("root <> c.root")
-        pairs = met.select(*_ordered("node", "c.node"))
-        fresh = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionAll(fresh)
-        links = links.unionAll(found.links(fresh))
-        roots = components(links)
-    return roots
+    buckets = classes.select("node", F.explode("bands").alias("key"))
+    roots = linked_roots(buckets, members, SignatureComparer(rule))
+    return rows.select("doc_id", "id_key", "text_key", "n", "node"), roots
 
 
 def membership(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n, component_id`` of every document."""
-    found = sketch(docs, rule)
-    roots = linked_components(found)
-    names = roots.groupBy("root").agg(F.min("node").alias("component"))
-    named = roots.join(names, "root").select("node", "component")
-    classes = found.sketches.select("set_hash", "node").join(named, "node", "left")
-    classes = classes.select("set_hash", F.coalesce("component", "node").alias("component"))
-    sizes = keyed_text(docs).select("doc_id", "id_key", "text").mapInArrow(_sizes(rule), SIZES)
-    return sizes.join(classes, "set_hash", "left").select(
-        "doc_id", "n", F.nullif(F.coalesce("component", "id_key"), F.lit(NO_ID)).alias("component_id")
-    )
+    """``doc_id, id_key, text_key, n, node, root, component_id`` of every row."""
+    rows, roots = sketch(docs, rule)
+    return named(rows, roots)
 
 
 def report(docs: DataFrame, rule: Rule = Rule(words=2)) -> DataFrame:
@@ -476,3 +264,19 @@ def report(docs: DataFrame, rule: Rule = Rule(words=2)) -> DataFrame:
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
     )
+
+
+def decisions(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """``id_key, text_key, copies, kept``: which rows stay, one of each component, and how often each row comes.
+
+    The first by (doc_id, text) stays, rows without an id come last; a row without
+    words stays.
+    """
+    found = membership(docs, rule)
+    rows = found.groupBy("id_key", "text_key", "node", "root").agg(F.count(F.lit(1)).alias("copies"))
+    place = F.struct("id_key", "text_key")
+    first = rows.where("root is not null").groupBy("root").agg(F.min(place).alias("first"))
+    return rows.join(first, "root", "left").select(
+        "id_key", "text_key", F.when(F.col("root").isNull(), 1).otherwise(F.col("copies")).alias("copies"),
+        F.coalesce(place == F.col("first"), F.lit(True)).alias("kept"),
+    )

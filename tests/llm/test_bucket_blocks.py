@@ -8,7 +8,8 @@ import pytest
 from conftest import changed, frame, prose
 from test_neardup import brute
 
-from anchorline.llm import neardup as op
+from anchorline.llm import linking as op
+from anchorline.llm import neardup
 
 
 @pytest.mark.parametrize("block", [1, 3, 100])
@@ -41,13 +42,15 @@ def test_small_blocks_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     base = prose(rng, 120)
     rows = [(i, changed(rng, base, 0.004 * i)) for i in range(30)]
-    whole, cells = op.Classes.last_links, []
+    whole, cells = op.in_blocks, []
 
-    def in_small_blocks(self, rest, largest):
-        cells.append(op.in_blocks(rest.join(largest, "key"), 2).select("key", "low", "high").distinct().count())
-        return whole(self, rest, largest, block=2)
+    def in_small_blocks(members, block):
+        found = whole(members, 2)
+        cells.append(found.select("key", "low", "high").distinct().count())
+        return found
 
-    monkeypatch.setattr(op.Classes, "last_links", in_small_blocks)
-    got = {r.doc_id: r.component_id for r in op.membership(frame(spark, rows), op.Rule(words=2)).collect()}
+    monkeypatch.setattr(op, "in_blocks", in_small_blocks)
+    monkeypatch.setattr(op, "PAIRS_PER_NODE", 10**9)
+    got = {r.doc_id: r.component_id for r in neardup.report(frame(spark, rows), neardup.Rule(words=2)).collect()}
     assert got == {i: c for i, _, c in brute(rows, 2)}
     assert cells and cells[0] > 0

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from conftest import changed, frame, prose
 
+from anchorline.llm import linking
 from anchorline.llm import neardup as op
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -18,6 +19,15 @@ def shingles(text, n):
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
 
 
+def test_missing_and_repeated_ids_chain_nothing(spark):
+    """Two rows without an id, and one id on two texts, near copies of different documents."""
+    rng = random.Random(2)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(5, a), (None, a + " x"), (9, b), (None, b + " y"), (7, a), (7, b)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in op.report(frame(spark, rows)).collect())
+    assert got == Counter([(5, 5, True), (None, 5, False), (9, 7, False), (None, 7, False), (7, 5, False), (7, 7, True)])
+
+
 def brute(rows, n=2, percent=80):
     """Per row: id, set size, smallest id reachable."""
     sets = [(doc_id, shingles(text, n)) for doc_id, text in rows]
@@ -88,8 +98,8 @@ def test_chains_and_large_groups(spark):
 
 
 def test_rounds_give_what_the_last_comparison_alone_gives(spark, plain_docs, plain, monkeypatch):
-    monkeypatch.setattr(op, "PAIRS_PER_CLASS", 0)
-    monkeypatch.setattr(op, "ROUNDS", 2)
+    monkeypatch.setattr(linking, "PAIRS_PER_NODE", 0)
+    monkeypatch.setattr(linking, "GAIN", 0.99)
     assert result(plain_docs, op.Rule(2)) == brute(list(plain.items()))
 
 
@@ -106,7 +116,7 @@ def test_pruning_bounds_keep_the_miss_probability():
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(500, 499), (7, 7)]
     random.Random(1).shuffle(edges)
-    got = op.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = linking.components(spark.createDataFrame(edges, "a long, b long")).collect()
     groups = {}
     for r in got:
         groups.setdefault(r.root, set()).add(r.node)

@@ -80,3 +80,19 @@ def test_awkward_rows_and_empty_tables(spark, docs, no_docs, sf):
         if name != "packing":
             assert found.columns == docs.columns
         assert found.count() > 0
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    """Copies without an id go too, equal rows are one, and odd column names do no harm."""
+    import random
+
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    rows = [(5, a), (None, a + " x"), (9, b), (None, b + " y"), (7, a), (7, b), (3, c), (3, c), (None, ""), (None, None)]
+    odd = spark.createDataFrame([(i, t, n, n, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` long, _kept long, id_key long")
+    found = pipeline.one_of_near_copies(spark, odd, "")
+    assert found.columns == odd.columns
+    got = Counter((r.doc_id, r.text) for r in found.collect())
+    assert got == Counter([(5, a), (7, b), (3, c), (None, ""), (None, None)])
+    again = pipeline.without_repeats(spark, odd, "")
+    assert again.columns == odd.columns and again.count() == len(rows)
