@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.llm import decontaminate, language, neardup, packing, suffixes
-from anchorline.llm.common import row_keys, ship, stage, table
+from anchorline.llm.common import free_names, quoted, row_keys, ship, stage, table
 from anchorline.llm.superkmers import Scheme
 
 #: Shortest repeat that is cut out of texts, in bytes: less than fifty words.
@@ -32,14 +32,29 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.known(docs)
 
 
+def _with_keys(docs: DataFrame, facts: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` and, under ``names``, the keys and further columns of ``facts`` where a row has the keys."""
+    own = free_names(docs, *names, "own_id", "own_text")[-2:]
+    id_key, text_key = row_keys()
+    keyed = docs.withColumns({own[0]: id_key, own[1]: text_key})
+    same = (F.col(own[0]) == F.col(names[0])) & (F.col(own[1]) == F.col(names[1]))
+    return keyed.join(facts.toDF(*names), same, "left").drop(*own)
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One document of each group of near copies: the first by id, then by text.
 
-    Documents without an id stay; rows of one id stay or go together.
+    Rows without an id come last in a group; of equal rows one stays; rows without
+    words stay.
     """
-    ship(spark)
-    kept = neardup.report(docs, NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    choice = stage(neardup.decisions(docs, NEAR).where("not kept or copies > 1"), "choices")
+    names = free_names(docs, "id_key", "text_key", "copies", "kept")
+    kept = [F.col(c) for c in names]
+    joined = _with_keys(docs, choice, names)
+    found = joined.where(kept[3].isNull())
+    if not choice.where("kept").isEmpty():  # of equal rows the first of each group of keys
+        found = found.unionAll(joined.where(kept[3]).dropDuplicates(names[:2]))
+    return found.select(*map(quoted, docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +62,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     ``n_chars`` is that of the remaining text.
     """
-    ship(spark)
-    shortened = suffixes.without_repeats(docs, REPEATS).toDF("_id_key", "_text_key", "_kept")
-    own_id, own_text = row_keys()
-    keyed = docs.withColumns({"_id_key": own_id, "_text_key": own_text})
-    joined = keyed.join(shortened, ["_id_key", "_text_key"], "left")
-    changed = F.col("_kept").isNotNull()
-    news = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    names = free_names(docs, "id_key", "text_key", "kept")
+    joined = _with_keys(docs, suffixes.without_repeats(docs, REPEATS), names)
+    kept = F.col(names[2])
+    news = {"text": kept, "n_chars": F.length(kept).cast("long")}
     return joined.select(
-        *[F.when(changed, news[c]).otherwise(F.col(c)).alias(c) if c in news else F.col(c) for c in docs.columns]
+        *[F.when(kept.isNotNull(), news[c]).otherwise(quoted(c)).alias(c) if c in news else quoted(c) for c in docs.columns]
     )
 
 
