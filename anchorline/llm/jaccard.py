@@ -6,10 +6,10 @@ a Jaccard index of at least ``percent`` are linked.  Documents of equal sets are
 n-grams of a set of n in ascending order of document frequency, one of the first
 ``n - ceil(percent * n) + 1``, its *prefix*.
 
-1. Each class sends its n-grams, packed, to their part of the hash space, where document
-   frequencies are counted exactly.  N-grams of one class only can't be shared: they come
-   first in the order and go no further.  The others return to their class with their
-   frequency.  N-grams in more than a share ``HOT`` of the classes of several slices of
+1. A slice of the texts sends the n-grams of its classes, packed, to their part of the
+   hash space, where frequencies are counted exactly (a class counts once for each slice
+   that has it).  N-grams that come once can't be shared: they come first in the order
+   and go no further.  The others return to their slice with their frequency.  N-grams in more than a share ``HOT`` of the classes of several slices of
    the texts are named first (there are at most mean set size / ``HOT`` of them); they
    come last in the order and never leave their class, so no part gets a frequent one.
 2. A class that shares fewer than ``percent`` of its n-grams has no link.  The others go
@@ -32,9 +32,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ from .common import parallelism, record_batch, ship, slices, stage, whole_groups
 from .linking import linked_roots, named
 from .neardup import Rule, node_of, shingle_sets
 
-#: Text that one packed row of n-grams comes from.
-SLICE = 4 << 20
+#: Text that packed rows of n-grams come from, and the most classes of one, as 16 bits number them.
+SLICE, CLASSES = 4 << 20, 1 << 16
 #: N-grams that one part of the hash space takes, and the most parts.
 PER_PART, PARTS = 4_000_000, 1 << 16
 #: An n-gram in more than this share of all classes is hot.
@@ -56,13 +58,13 @@ RANGES = 256
 ROWS = "doc_id long, n long, node long, hot binary"
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("hot", pa.binary())])
 _HOT = pa.schema([("gram", pa.int64()), ("classes", pa.int64())])
-PACKED = "part int, own boolean, nodes binary, counts binary, grams binary, dfs binary"
+PACKED = "part int, slice long, own boolean, places binary, grams binary, dfs binary"
 _PACKED = pa.schema(
     [
         ("part", pa.int32()),
+        ("slice", pa.int64()),
         ("own", pa.bool_()),
-        ("nodes", pa.binary()),
-        ("counts", pa.binary()),
+        ("places", pa.binary()),
         ("grams", pa.binary()),
         ("dfs", pa.binary()),
     ]
@@ -126,87 +128,72 @@ def _from_six_bytes(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _packed_rows(part: np.ndarray, node: np.ndarray, grams: np.ndarray, dfs: np.ndarray | None, own: bool) -> Iterator[tuple]:
-    """One row per part; the input is ordered by part and node."""
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-        if a == b:
-            continue
-        firsts = np.flatnonzero(np.diff(node[a:b], prepend=node[a] ^ 1))
-        counts = np.diff(firsts, append=b - a).astype(np.uint32)
-        packed = grams[a:b].tobytes() if own or dfs is not None else _six_bytes(grams[a:b])
-        yield int(part[a]), own, node[a:b][firsts].tobytes(), counts.tobytes(), packed, None if dfs is None else dfs[a:b].tobytes()
-
-
 def _sent(rule: Rule, hot: np.ndarray, parts: int):
-    """N-grams by part of the hash space, and each class's size and hot ones by a part for its node."""
+    """N-grams by part of the hash space, each with its class's place in the slice.
+
+    One more row, marked ``own``, has for the slice itself each class's node, set size
+    and number of hot n-grams, and then those.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, budget=SLICE):
-            _, _, sets = _classes_of(part, rule.words)
-            if not sets:
-                continue
-            sizes = np.array([len(s) for s in sets.values()], np.int64)
-            names = np.array(list(sets), np.int64)
-            grams, node = np.concatenate(list(sets.values())), np.repeat(names, sizes)
-            rank = np.searchsorted(hot, grams)
-            is_hot = (hot[np.minimum(rank, len(hot) - 1)] == grams) if len(hot) else np.zeros(len(grams), bool)
-            rows = []
-            cold, owner = grams[~is_hot], node[~is_hot]
-            at = part_of(cold, parts)
-            order = np.lexsort((owner, at))
-            rows += _packed_rows(at[order], owner[order], cold[order], None, False)
-            # of each class: its size, then its hot n-grams
-            owner = np.concatenate([names, node[is_hot]])
-            values = np.concatenate([sizes.astype(np.uint64), grams[is_hot]])
-            second = np.concatenate([np.zeros(len(names), np.int8), np.ones(int(is_hot.sum()), np.int8)])
-            at = owner % parts
-            order = np.lexsort((second, owner, at))
-            rows += _packed_rows(at[order], owner[order], values[order], None, True)
-            yield record_batch(_PACKED, *(list(c) for c in zip(*rows, strict=True)))
+            _, _, found = _classes_of(part, rule.words)
+            every = list(found.items())
+            for first in range(0, len(every), CLASSES):
+                names, sets = zip(*every[first : first + CLASSES], strict=True)
+                names = np.array(names, np.int64)
+                number = int.from_bytes(blake2b(names.tobytes(), digest_size=8).digest(), "little", signed=True)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                grams, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                rank = np.searchsorted(hot, grams)
+                is_hot = (hot[np.minimum(rank, len(hot) - 1)] == grams) if len(hot) else np.zeros(len(grams), bool)
+                held = np.bincount(place[is_hot], minlength=len(sets))
+                own = np.concatenate([names, sizes, held]).tobytes()
+                rows = [(number % parts, number, True, own, grams[is_hot].tobytes(), None)]
+                cold, place = grams[~is_hot], place[~is_hot].astype(np.uint16)
+                at = part_of(cold, parts)
+                order = np.argsort(at, kind="stable")
+                cold, place, at = cold[order], place[order], at[order]
+                cuts = np.flatnonzero(np.diff(at)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                    if a < b:
+                        rows.append((int(at[a]), number, False, place[a:b].tobytes(), _six_bytes(cold[a:b]), None))
+                yield record_batch(_PACKED, *(list(c) for c in zip(*rows, strict=True)))
 
     return run
 
 
-def _unpacked(table: pa.Table, six: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node and n-gram of every entry, and the document frequencies."""
-    join = lambda c: b"".join(x for x in table.column(c).to_pylist() if x is not None)
-    nodes = np.repeat(np.frombuffer(join("nodes"), np.int64), np.frombuffer(join("counts"), np.uint32))
-    grams = _from_six_bytes(join("grams")) if six else np.frombuffer(join("grams"), np.uint64)
-    return nodes, grams, np.frombuffer(join("dfs"), np.uint32)
-
-
-def _counted(groups: int):
-    """Of a part's n-grams those of several classes, with their frequency, by groups of classes."""
+def _joined(column: pa.ChunkedArray) -> bytes:
+    return b"".join(column.to_pylist())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(batches, "part"):
-            for table in _by_value(whole, "part"):
-                number = table.column("part")[0].as_py()
-                own = table.filter(table.column("own"))
-                nodes, grams, _ = _unpacked(table.filter(pa.compute.invert(table.column("own"))), True)
-                order = np.lexsort((nodes, grams))
-                nodes, grams = nodes[order], grams[order]
-                new_gram = np.diff(grams, prepend=~grams[:1]) != 0
-                first = new_gram | (np.diff(nodes, prepend=nodes[:1]) != 0)  # a class comes once from each slice that has it
-                nodes, grams, new_gram = nodes[first], grams[first], new_gram[first]
-                cuts = np.flatnonzero(new_gram)
-                df = np.repeat(np.diff(cuts, append=len(grams)), np.diff(cuts, append=len(grams)))
-                shared = df > 1
-                nodes, df = nodes[shared], df[shared].astype(np.uint32)
-                grams = grams[shared] | np.uint64(number << 48)
-                at = nodes % groups
-                order = np.lexsort((nodes, at))
-                rows = list(_packed_rows(at[order], nodes[order], grams[order], df[order], False))
-                if own.num_rows:
-                    nodes, values, _ = _unpacked(own, False)
-                    at = nodes % groups
-                    order = np.lexsort((nodes, at))  # stable: the size stays before the hot n-grams
-                    rows += _packed_rows(at[order], nodes[order], values[order], None, True)
-                if rows:
-                    yield record_batch(_PACKED, *(list(c) for c in zip(*rows, strict=True)))
 
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part's n-grams those that come several times, with their frequency, for every slice."""
+    for whole in whole_groups(batches, "part"):
+        for table in _by_value(whole, "part"):
+            own = table.column("own")
+            yield from table.filter(own).to_batches()
+            table = table.filter(pc.invert(own))
+            if not table.num_rows:
+                continue
+            number = table.column("part")[0].as_py()
+            row = np.repeat(np.arange(table.num_rows), [len(g) // 6 for g in table.column("grams").to_pylist()])
+            places = np.frombuffer(_joined(table.column("places")), np.uint16)
+            grams = _from_six_bytes(_joined(table.column("grams")))
+            order = np.argsort(grams, kind="stable")
+            run = np.diff(np.flatnonzero(np.diff(grams[order], prepend=~grams[order][:1])), append=len(grams))
+            df = np.empty(len(grams), np.uint32)
+            df[order] = np.repeat(run, run)
+            shared = df > 1
+            row, places, grams, df = row[shared], places[shared], grams[shared], df[shared]
+            cuts = np.searchsorted(row, np.arange(table.num_rows + 1)).tolist()
+            rows = [
+                (number, slice_id, False, places[a:b].tobytes(), _six_bytes(grams[a:b]), df[a:b].tobytes())
+                for slice_id, a, b in zip(table.column("slice").to_pylist(), cuts[:-1], cuts[1:], strict=True)
+                if a < b
+            ]
+            if rows:
+                yield record_batch(_PACKED, *(list(c) for c in zip(*rows, strict=True)))
 
 
 def _by_value(table: pa.Table, column: str) -> Iterator[pa.Table]:
@@ -222,26 +209,30 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _assembled(rule: Rule, hot: np.ndarray, hot_df: np.ndarray):
-    """Of every class that can have a link: its shared n-grams, and those of its prefix with their places."""
+    """Of every class of a slice that can have a link: its shared n-grams, and those of its prefix with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(batches, "part"):
-            for table in _by_value(whole, "part"):
-                own = table.filter(table.column("own"))
-                nodes, grams, df = _unpacked(table.filter(pa.compute.invert(table.column("own"))), False)
-                names, sizes, hot_nodes, hot_grams = _headers(own)
-                nodes = np.concatenate([nodes, hot_nodes])
-                # hot ones are last: their frequency is at least what other ones can have in this order
-                late = np.concatenate([np.zeros(len(grams), bool), np.ones(len(hot_grams), bool)])
-                df = np.concatenate([df.astype(np.int64), hot_df[np.searchsorted(hot, hot_grams)]])
-                grams = np.concatenate([grams, hot_grams])
-                order = np.lexsort((grams, df, late, nodes))
-                nodes, grams = nodes[order], grams[order]
-                cuts = np.searchsorted(nodes, names), np.searchsorted(nodes, names, "right")
+        for whole in whole_groups(batches, "slice"):
+            for table in _by_value(whole, "slice"):
+                own = table.filter(table.column("own"))  # of slices with the same classes one is enough
+                names, sizes, held = np.frombuffer(own.column("places")[0].as_py(), np.int64).reshape(3, -1)
+                late = np.frombuffer(own.column("grams")[0].as_py(), np.uint64)
+                table = table.filter(pc.invert(table.column("own")))
+                count = [len(g) // 6 for g in table.column("grams").to_pylist()]
+                part = np.repeat(table.column("part").to_numpy().astype(np.uint64), count) << np.uint64(48)
+                grams = np.concatenate([_from_six_bytes(_joined(table.column("grams"))) | part, late])
+                place = np.concatenate([np.frombuffer(_joined(table.column("places")), np.uint16), np.repeat(np.arange(len(names)), held)])
+                df = np.concatenate([np.frombuffer(_joined(table.column("dfs")), np.uint32), hot_df[np.searchsorted(hot, late)]])
+                last = np.arange(len(grams)) >= len(grams) - len(late)  # the hot ones, whatever their frequency
+                order = np.lexsort((grams, df, last, place))
+                place, grams = place[order], grams[order]
+                new = (np.diff(place, prepend=-1) != 0) | (np.diff(grams, prepend=~grams[:1]) != 0)
+                place, grams = place[new], grams[new]
+                cuts = np.searchsorted(place, np.arange(len(names) + 1))
                 need = least_overlap(sizes, rule.percent)
                 rows = []
-                for i in np.flatnonzero(cuts[1] - cuts[0] >= np.maximum(need, 1)).tolist():
-                    mine, n = grams[cuts[0][i] : cuts[1][i]], int(sizes[i])
+                for i in np.flatnonzero(np.diff(cuts) >= np.maximum(need, 1)).tolist():
+                    mine, n = grams[cuts[i] : cuts[i + 1]], int(sizes[i])
                     alone = n - len(mine)
                     prefix = mine[: max(0, n - int(need[i]) + 1 - alone)].view(np.int64).tolist()
                     posted = [{"key": key, "pos": alone + j} for j, key in enumerate(prefix)]
@@ -252,33 +243,6 @@ def _assembled(rule: Rule, hot: np.ndarray, hot_df: np.ndarray):
     return run
 
 
-def _headers(own: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes and set sizes, and node and n-gram of the hot ones; a class may come several times."""
-    counts = np.frombuffer(b"".join(own.column("counts").to_pylist()), np.uint32).astype(np.int64)
-    nodes, values, _ = _unpacked(own, False)
-    # a part's row may hold a class several times, each with its size and its hot n-grams
-    at, names, sizes, hot = 0, [], [], {}
-    for count in counts.tolist():
-        node, size = int(nodes[at]), int(values[at])
-        if node not in hot:
-            repeat = _repeat_of(values[at : at + count], size)
-            hot[node] = values[at + 1 : at + repeat]
-            names.append(node)
-            sizes.append(size)
-        at += count
-    order = np.argsort(np.array(names, np.int64))
-    named = np.array(names, np.int64)[order]
-    hot_nodes = np.repeat(np.array(names, np.int64), [len(hot[n]) for n in names])
-    hot_grams = np.concatenate([hot[n] for n in names]) if names else np.zeros(0, np.uint64)
-    return named, np.array(sizes, np.int64)[order], hot_nodes, hot_grams
-
-
-def _repeat_of(values: np.ndarray, size: int) -> int:
-    """Length of the first copy in equal copies that each begin with the size."""
-    again = np.flatnonzero(values[1:] == np.uint64(size))
-    return int(again[0]) + 1 if len(again) else len(values)
-
-
 class Sets:
     """Shared n-grams of some classes inside a task."""
 
@@ -357,9 +321,10 @@ def sets_with_links(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFr
     groups = parallelism(spark)
     parts = min(PARTS, max(groups, -(-(total or 0) // PER_PART)))
     sent = docs.select("text").mapInArrow(_sent(rule, hot, parts), PACKED)
-    counted = sent.repartition(groups, "part").sortWithinPartitions("part").mapInArrow(_counted(groups), PACKED)
-    gathered = counted.repartition(groups, "part").sortWithinPartitions("part")
-    return stage(gathered.mapInArrow(_assembled(rule, hot, hot_df), SETS), "sets")
+    counted = sent.repartition(groups, "part").sortWithinPartitions("part").mapInArrow(_counted, PACKED)
+    gathered = counted.repartition(groups, "slice").sortWithinPartitions("slice")
+    sets = gathered.mapInArrow(_assembled(rule, hot, hot_df), SETS)
+    return stage(sets.dropDuplicates(["node"]), "sets")  # a class comes from each slice that has it
 
 
 def report(docs: DataFrame, rule: Rule = Rule(words=5)) -> DataFrame:

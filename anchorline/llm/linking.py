@@ -6,10 +6,11 @@ pairs:
 
 1. Buckets with the same members are one bucket.
 2. Each node is compared with one centre of its buckets; links give components.
-3. Only candidates of *different* components are left.  Buckets that hold one component
-   are closed and never looked at again.  Open buckets whose largest component is the
-   same form a *region*, and a node comes once to a region, with the list of its buckets
-   there: two nodes are compared once in a region, however many buckets they share.
+3. Buckets whose centres are in one component form a *region*, and a node comes once to
+   a region, with the list of its buckets there: two nodes are compared once in a
+   region, however many buckets they share.  Only candidates of *different* components
+   are left to compare; a region that holds one component is closed and never looked at
+   again.
 4. While regions would need many comparisons, and each round takes a good part of them
    away, all members of a region are compared with one more centre, drawn at random from
    the nodes outside the largest component.
@@ -117,10 +118,14 @@ def _composed(roots: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def distinct_buckets(buckets: DataFrame) -> DataFrame:
-    """The buckets of several nodes, one for each set of nodes."""
+    """The buckets of several nodes, one for each set of nodes, with their first node as centre.
+
+    The centre's columns have ``_c`` at their end.
+    """
     content = [F.bit_xor(F.xxhash64("node", F.lit(n))).alias(f"mark_{n}") for n in (1, 2)]
-    each = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), *content).where("nodes > 1")
-    kept = each.groupBy("nodes", "mark_1", "mark_2").agg(F.min("key").alias("key")).select("key")
+    centre = F.min_by(F.struct(*[F.col(c).alias(f"{c}_c") for c in buckets.columns if c != "key"]), "node")
+    each = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), *content, centre.alias("c")).where("nodes > 1")
+    kept = each.groupBy("nodes", "mark_1", "mark_2").agg(F.min_by(F.struct("key", "c.*"), "key").alias("one")).select("one.*")
     return stage(buckets.join(kept, "key"), "buckets")
 
 
@@ -235,14 +240,24 @@ def tested(pairs: DataFrame, members: DataFrame, comparer: Comparer) -> DataFram
     return stage(fetched.mapInArrow(_in_pairs(comparer), LINKS), "links")
 
 
-def _opened(rest: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The buckets that still hold several components, and their regions: ``key, main, node, root, keys``."""
-    labelled = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+def _regions(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, node, keys``: every region's nodes with their buckets there."""
+    of_centre = rest.select("key", "node", "node_c").join(roots.toDF("node_c", "region"), "node_c", "left")
+    region = F.coalesce("region", "node_c").alias("region")
+    listed = of_centre.groupBy(region, "node").agg(F.collect_list("key").alias("keys"))
+    return listed.withColumnRenamed("region", "key")
+
+
+def _opened(regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """The regions of several components: ``key, node, keys, root, main, members, most``.
+
+    ``main`` is the largest component of ``most`` of the region's ``members``.
+    """
+    labelled = regions.select("key", "node", "keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mains = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    rest = stage(labelled.join(mains.where("roots > 1").select("key", "main"), "key"), "open-buckets")
-    regions = rest.groupBy("main", "node", "root").agg(F.collect_list("key").alias("keys"))
-    return rest.select("key", "node"), stage(regions.withColumn("key", F.col("main")), "regions")
+    main = F.max_by("root", F.struct("n", "root")).alias("main")
+    sizes = by_root.groupBy("key").agg(main, F.sum("n").alias("members"), F.max("n").alias("most"), F.count(F.lit(1)).alias("roots"))
+    return stage(labelled.join(sizes.where("roots > 1").drop("roots"), "key"), "regions")
 
 
 def linked_roots(
@@ -255,29 +270,28 @@ def linked_roots(
     """
     rest = distinct_buckets(buckets)
     held = stage(members(rest.select("node").distinct()), "members")
-    first = [F.min_by(c, "node").alias(f"{c}_c") for c in rest.columns if c != "key"]
-    met = rest.join(rest.groupBy("key").agg(*first), "key").where(F.col("node") != F.col("node_c"))
-    nearest = met.where(comparer.formed("", "_c")).groupBy("node").agg(F.min("node_c").alias("node_c"))
+    met = rest.where(F.col("node") != F.col("node_c")).where(comparer.formed("", "_c"))
+    nearest = met.groupBy("node").agg(F.min("node_c").alias("node_c"))
     pairs = nearest.select(F.col("node").alias("x"), F.col("node_c").alias("y"), *_ordered("node", "node_c"))
     roots = components(tested(pairs, held, comparer))
-    before = None
+    regions, before = _regions(rest, roots), None
     while True:
-        rest, regions = _opened(rest.select("key", "node"), roots)
-        mine = F.col("root") == F.col("main")
-        sizes = regions.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count_if(mine).alias("most"))
-        cost, nodes = sizes.agg(F.sum(((F.col("members") - F.col("most")) * F.col("members")).cast("double")), F.sum("members")).first()
-        if not cost:
+        regions = _opened(regions, roots)
+        each = (F.col("members") - F.col("most")).cast("double")  # pairs of one node
+        cost, nodes = regions.agg(F.sum(each), F.count(F.lit(1))).first()
+        if not nodes:
             return roots
         if cost <= PAIRS_PER_NODE * nodes or (before and cost > GAIN * before):
             break
         before = cost
+        minor = regions.where("root <> main")
         centre = F.min_by(F.struct("node", "root", "keys"), F.xxhash64("node", F.lit(cost)))
-        drawn = regions.where(~mine).groupBy("key").agg(centre.alias("c"))
+        drawn = minor.groupBy("key").agg(centre.alias("c"))
         shared = (F.col("root") != F.col("c.root")) & F.arrays_overlap("keys", "c.keys")
         met = regions.join(drawn, "key").where(shared)
         pairs = met.select(F.col("node").alias("x"), F.col("c.node").alias("y"), *_ordered("root", "c.root")).distinct()
         roots = _composed(roots, components(tested(pairs, held, comparer)))
-    cells = in_blocks(regions.join(sizes, "key"), block)
+    cells = in_blocks(regions, block)
     cells = cells.select("cell", "key", "low", "high", "block", "node", "root", "main", "keys")
     dealt = cells.join(held, "node").repartition(parallelism(cells.sparkSession), "cell")
     found = dealt.sortWithinPartitions("cell", "key", "low", "high", "node").mapInArrow(_in_regions(comparer), LINKS)
