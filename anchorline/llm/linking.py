@@ -248,6 +248,13 @@ def _regions(rest: DataFrame, roots: DataFrame) -> DataFrame:
     return listed.withColumnRenamed("region", "key")
 
 
+def _merged(regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """The regions, those whose centres' components have been joined as one."""
+    moved = regions.select("key", "node", "keys").join(roots.toDF("key", "to"), "key", "left")
+    joined = F.flatten(F.collect_list("keys")).alias("keys")
+    return moved.groupBy(F.coalesce("to", "key").alias("region"), "node").agg(joined).withColumnRenamed("region", "key")
+
+
 def _opened(regions: DataFrame, roots: DataFrame) -> DataFrame:
     """The regions of several components: ``key, node, keys, root, main, members, most``.
 
@@ -291,6 +298,7 @@ def linked_roots(
         met = regions.join(drawn, "key").where(shared)
         pairs = met.select(F.col("node").alias("x"), F.col("c.node").alias("y"), *_ordered("root", "c.root")).distinct()
         roots = _composed(roots, components(tested(pairs, held, comparer)))
+        regions = _merged(regions, roots)
     cells = in_blocks(regions, block)
     cells = cells.select("cell", "key", "low", "high", "block", "node", "root", "main", "keys")
     dealt = cells.join(held, "node").repartition(parallelism(cells.sparkSession), "cell")
