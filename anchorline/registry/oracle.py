@@ -7,6 +7,9 @@ admissions, membership by IN, windows without shortcuts.
 from __future__ import annotations
 
 from .. import fixed_values as fv
+from ..plans.scoring import PROBABILITY_COLUMNS
+from ..sources.schemas import COHORT_COLUMNS, FEATURE_COLUMNS, MEASURE_COLUMNS, TARGET_COLUMNS
+from .queries import LOGISTIC_MODELS
 
 
 def _list(values) -> str:
@@ -425,5 +428,57 @@ _SELECTS = {
 }
 
 
+def _logistic(intercept: float, coefficients: dict[str, float], fills: dict[str, float]) -> str:
+    terms = [f"({v}::DOUBLE) * coalesce({c}, {fills.get(c, 0.0)}::DOUBLE)" for c, v in coefficients.items()]
+    return f"round(1 / (1 + exp(-({' + '.join([f'({intercept}::DOUBLE)', *terms])}))), 9)"
+
+
+_SELECTS["score_saved_model"] = "SELECT subject_id, " + ", ".join(
+    f"{_logistic(*LOGISTIC_MODELS[label])} AS {name}" for label, name in PROBABILITY_COLUMNS.items()
+) + " FROM wide"
+
+_TIMES = {"admittime", "edregtime", "first_icu_intime", "charttime"}
+_NUMBERS = {"admission_age", "height_cm", "weight_kg", "valuenum"}
+
+
+def _digest(output: str, relation: str, columns: list[str]) -> str:
+    """Rows and digest of one output: a sum over the first 60 bits of the rows' md5."""
+
+    def text(c: str) -> str:
+        if c in _NUMBERS:
+            return f"CASE WHEN isnan({c}) THEN 'NaN' ELSE round({c} * 1000000)::BIGINT::VARCHAR END"
+        return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c in _TIMES else f"{c}::VARCHAR"
+
+    row = " || '|' || ".join(f"coalesce({text(c)}, '\\N')" for c in sorted(columns))
+    return f"""SELECT '{output}' AS output, count(*) AS rows,
+          coalesce(sum(('0x' || substr(md5({row}), 1, 15))::BIGINT)::VARCHAR, '0') AS digest FROM {relation}"""
+
+
+_SELECTS["published_digests"] = " UNION ALL ".join(
+    [
+        _digest("cohort", "wide", COHORT_COLUMNS + FEATURE_COLUMNS),
+        _digest("labs", "labs", MEASURE_COLUMNS),
+        _digest("vitals", "vitals", MEASURE_COLUMNS),
+        _digest("targets", "outcomes", TARGET_COLUMNS),
+    ]
+)
+_SELECTS["rejected_cells"] = " UNION ALL ".join(
+    f"""SELECT 'admissions' AS relation, '{column}' AS column_name, '{value}' AS value, count(*) AS cells
+        FROM admissions WHERE {key} % {share} = 0 HAVING count(*) > 0"""
+    for column, value, key, share in (
+        ("admittime", "unknown", "hadm_id", 50), ("has_chartevents_data", "yes", "subject_id", 7),
+    )
+)
+_SELECTS["admission_key_audit"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS relation, count(*) AS row_count, count(*) - count({key}) AS missing,
+          count(DISTINCT {key}) AS distinct_keys,
+          (SELECT count(*) FROM (SELECT {key} FROM {name} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1)) AS repeated_keys,
+          count({key}) - count(DISTINCT {key}) AS surplus_rows FROM {name}"""
+    for name, key in {
+        "admissions": "hadm_id", "patients": "subject_id", "icustays": "hadm_id", "labevents": "hadm_id",
+    }.items()
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f"{_PREAMBLE}\n{select}" for name, select in _SELECTS.items()}

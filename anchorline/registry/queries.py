@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 from uuid import uuid4
 
 from pyspark.ml.feature import SQLTransformer
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import normalize_categories
 from ..job import JobReport, first_rows, run_job
-from ..operators import Anchor, PlanLimits, members_of, next_in_key, shared_folder, within_anchor
+from ..operators import Anchor, PlanLimits, key_audit, members_of, next_in_key, shared_folder, within_anchor
 from ..plans import cohort as c
 from ..plans import features as f
 from ..plans.extraction import Extraction, extract
 from ..plans.measures import labs_in_window, plausible, vitals_in_window
+from ..plans.models import LogisticModel, load_models, save_models
 from ..plans.scoring import score_subjects
-from ..sources import Bounds, ClinicalTables, load_bounds, load_subjects, write_outputs
+from ..sources import Bounds, ClinicalTables, load_bounds, load_subjects, publish, write_outputs
+from ..sources.quarantine import rejected_values
 from ..sources.retail import clinical_tables, read_table, subject_list
 from ..sources.schemas import MEASURE_COLUMNS, SOURCE_SCHEMAS
 from ..sources.sinks import CSV_OPTIONS
@@ -274,6 +276,22 @@ STAND_IN_PROBABILITIES = {
 }
 
 
+# Intercept, coefficients and stand-ins for missing features, by label.
+LOGISTIC_MODELS = {
+    "mortality": (
+        -3.25,
+        {"admission_age": 0.03125, "weight_kg": -0.0078125, "received_vasopressor": 0.75, "was_mechanically_ventilated": 0.5},
+        {"admission_age": 60.0, "weight_kg": 80.0},
+    ),
+    "prolonged_los": (
+        -1.5,
+        {"height_cm": 0.00390625, "received_sedation": 0.625, "received_rrt": 0.875},
+        {"height_cm": 170.0},
+    ),
+    "readmission_30d": (-2.0, {"received_antibiotic": 0.375, "positive_blood_culture": 0.25}, {}),
+}
+
+
 def score_unseen(s: _Study) -> DataFrame:
     models = {
         label: SQLTransformer(statement=f"SELECT *, {formula} AS probability FROM __THIS__")
@@ -282,6 +300,39 @@ def score_unseen(s: _Study) -> DataFrame:
     return score_subjects(s.features, models)
 
 
+def score_saved_model(s: _Study) -> DataFrame:
+    """Stored pipelines of logistic models, loaded and applied to the cohort."""
+    folder = f"{s.scratch}/models"
+    save_models({label: LogisticModel(*parts).pipeline() for label, parts in LOGISTIC_MODELS.items()}, folder)
+    scored = score_subjects(s.features, load_models(folder))
+    return scored.select("subject_id", *[F.round(c, 9).alias(c) for c in scored.columns[1:]])
+
+
+def published_digests(s: _Study) -> DataFrame:
+    """The manifest of the published extraction: row counts and digests, observed while it was written."""
+    return publish(s.extraction().outputs(), s.scratch).manifest
+
+
+def rejected_cells(s: _Study) -> DataFrame:
+    """What a lenient read drops from admissions stored as text, some of whose cells are no values."""
+    rows = s.tables.admissions
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+    spoilt = text.withColumns(
+        {
+            "admittime": F.when(F.col("hadm_id") % 50 == 0, "unknown").otherwise(F.col("admittime")),
+            "has_chartevents_data": F.when(F.col("subject_id") % 7 == 0, "yes").otherwise(F.col("has_chartevents_data")),
+        }
+    )
+    return rejected_values(spoilt, SOURCE_SCHEMAS["admissions"], "admissions")
+
+
+def admission_key_audit(s: _Study) -> DataFrame:
+    """How unique the keys are on which tables are joined."""
+    keys = {"admissions": "hadm_id", "patients": "subject_id", "icustays": "hadm_id", "labevents": "hadm_id"}
+    audits = [key_audit(getattr(s.tables, name), key, name) for name, key in keys.items()]
+    return reduce(DataFrame.unionAll, audits)
+
+
 _QUERIES: dict[str, Callable[[_Study], DataFrame]] = {
     # cohort
     "base_admissions": lambda s: s.base,
@@ -361,6 +412,11 @@ _QUERIES: dict[str, Callable[[_Study], DataFrame]] = {
     "job_labs_sample": job_sample("labs"),
     # scoring contract
     "score_unseen": score_unseen,
+    "score_saved_model": score_saved_model,
+    # published results, keys
+    "published_digests": published_digests,
+    "admission_key_audit": admission_key_audit,
+    "rejected_cells": rejected_cells,
 }
 
 

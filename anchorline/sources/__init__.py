@@ -1,5 +1,15 @@
 from .metadata import Bounds, load_bounds, load_subjects
+from .publish import Published, current, publish
 from .sinks import write_outputs
 from .tables import ClinicalTables
 
-__all__ = ["Bounds", "ClinicalTables", "load_bounds", "load_subjects", "write_outputs"]
+__all__ = [
+    "Bounds",
+    "ClinicalTables",
+    "Published",
+    "current",
+    "load_bounds",
+    "load_subjects",
+    "publish",
+    "write_outputs",
+]
