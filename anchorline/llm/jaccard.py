@@ -314,7 +314,7 @@ def hot_grams(described: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarra
 
 
 def sets_with_links(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
-    """``node, n, grams, posted`` of the classes that may have a link."""
+    """``node, n, grams, posted`` of the classes that may have a link, once from each slice that has them."""
     spark = docs.sparkSession
     classes, total = described.agg(F.approx_count_distinct("node"), F.sum("n")).first()
     hot, hot_df = hot_grams(described, classes)
@@ -323,8 +323,7 @@ def sets_with_links(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFr
     sent = docs.select("text").mapInArrow(_sent(rule, hot, parts), PACKED)
     counted = sent.repartition(groups, "part").sortWithinPartitions("part").mapInArrow(_counted, PACKED)
     gathered = counted.repartition(groups, "slice").sortWithinPartitions("slice")
-    sets = gathered.mapInArrow(_assembled(rule, hot, hot_df), SETS)
-    return stage(sets.dropDuplicates(["node"]), "sets")  # a class comes from each slice that has it
+    return stage(gathered.mapInArrow(_assembled(rule, hot, hot_df), SETS), "sets")
 
 
 def report(docs: DataFrame, rule: Rule = Rule(words=5)) -> DataFrame:
@@ -333,6 +332,10 @@ def report(docs: DataFrame, rule: Rule = Rule(words=5)) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = stage(texts.mapInArrow(_described(rule), ROWS), "described")
     sets = sets_with_links(texts, described, rule)
-    buckets = sets.select("node", "n", F.inline("posted"))
-    roots = linked_roots(buckets, lambda nodes: sets.drop("posted").join(nodes, "node", "left_semi"), SetComparer(rule))
+    buckets = sets.select("node", "n", F.inline("posted")).dropDuplicates(["key", "node"])
+
+    def members(nodes: DataFrame) -> DataFrame:
+        return sets.drop("posted").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    roots = linked_roots(buckets, members, SetComparer(rule))
     return named(described.select("doc_id", "n", "node"), roots).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

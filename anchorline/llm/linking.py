@@ -37,7 +37,7 @@ from .common import in_tasks_of, parallelism, record_batch, stage, whole_groups
 BLOCK = 1024
 #: Another centre is tried while a region's last comparison has more pairs than this a
 #: node, and while the round before left less than ``GAIN`` of them.
-PAIRS_PER_NODE, GAIN = 64, 0.75
+PAIRS_PER_NODE, GAIN = 512, 0.75
 #: Counted links and labels that one task takes.
 PER_TASK = 200_000
 #: Columns in which a region's buckets are marked; two that share one are compared once more than needed.
