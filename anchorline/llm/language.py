@@ -11,14 +11,19 @@ text: a bounded sample, while every byte of every text is classified.  Texts are
 read in segments of ``SEGMENT`` bytes with ``CONTEXT`` bytes on either side to
 warm up the states; a text's segments are pooled wherever they were read.
 
-Defined results: a text that is NULL or has no letter is ``und`` with score 0;
+``known`` is the filter: a second network of the same kind has one class more, for
+text in no language, learned from random letters of random scripts.  A text goes
+if that class's share of its positions, after ``PRIOR`` positions in favour of a
+language, is above a margin set on labelled rows kept from training.
+
+Defined results: a text that is NULL or has no letter (Unicode category L, so
+neither ``\u00bd`` nor ``\u2168``) is ``und`` with score 0;
 if there is nothing to learn from, so is every text; equal texts get equal
 results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +43,12 @@ UNKNOWN = "und"
 #: stands where a row has no byte: its update gate is shut, so states pass it unchanged
 NOTHING = 256
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: of the labelled sample, one in so many is kept from training to set the margin
+KEPT_BACK = 4
+#: texts in no language made for training, and the share of its language's sample that may be refused
+NOISE_TEXTS, REFUSED = 256, 0.01
+#: positions in favour of a language that every text starts with, so that a few bytes decide nothing
+PRIOR = 32
 
 
 @dataclass
@@ -222,9 +232,14 @@ _SCHEMA = pa.schema(
 )
 
 
+def has_letter(part: Slice) -> list[bool]:
+    """Whether each text of a slice has a letter."""
+    return [any(map(str.isalpha, text.decode())) for text in part.texts()]
+
+
 def predictions(net: Network | None, part: Slice) -> tuple[list[str], list[float]]:
     """Language and score of every text of a slice."""
-    readable = [bool(_LETTER.search(text.decode())) for text in part.texts()]
+    readable = has_letter(part)
     names, scores = [UNKNOWN] * len(part), [0.0] * len(part)
     if net is not None:
         found = document_scores(net, part)
@@ -253,15 +268,71 @@ def fit(docs: DataFrame) -> Network | None:
     return train(snippets) if snippets else None
 
 
+def noise(count: int = NOISE_TEXTS, seed: int = 11) -> list[bytes]:
+    """Texts in no language: words of random letters, half Latin, half of 64 neighbours anywhere in Unicode."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for i in range(count):
+        latin = i % 2 == 0
+        first = ord("a") if latin else int(rng.integers(0x250, 0x30000))
+        letters = first + rng.integers(26 if latin else 64, size=4 * SNIPPET)
+        gaps = rng.random(len(letters)) < rng.uniform(0.05, 0.25)
+        points = np.where(gaps, ord(" "), letters)
+        points = points[(points < 0xD800) | (points > 0xDFFF)]
+        text = "".join(map(chr, points.tolist()))
+        texts.append((text.upper() if latin and rng.random() < 0.2 else text).encode())
+    return texts
+
+
+@dataclass
+class Filter:
+    """A network with a class for text in no language, and the margin above which a text goes."""
+
+    net: Network
+    margin: float
+
+    def refusals(self, part: Slice) -> np.ndarray:
+        """Each text's share of positions in no language, beside ``PRIOR`` positions in one."""
+        scores = document_scores(self.net, part)[:, self.net.languages.index(NOISE)]
+        return scores * part.lengths / (part.lengths + PRIOR)
+
+    def passes(self, part: Slice) -> list[bool]:
+        letters = has_letter(part)
+        return [a and bool(b <= self.margin) for a, b in zip(letters, self.refusals(part), strict=True)]
+
+
+#: names of the filter's classes: that of noise, and what stands before a language's
+NOISE, LANGUAGE = "-", "+"
+
+
+def fit_filter(docs: DataFrame) -> Filter | None:
+    """A filter learned from the labelled texts; nothing if there are none.
+
+    The margin is halfway between 1 and the share that all but ``REFUSED`` of the
+    texts kept from training stay below.
+    """
+    snippets = [(LANGUAGE + name, raw) for name, raw in sample(docs, ~held_out())]
+    if not snippets:
+        return None
+    back = snippets[::KEPT_BACK]
+    learned = [pair for i, pair in enumerate(snippets) if i % KEPT_BACK] or snippets
+    net = train(learned + [(NOISE, raw) for raw in noise()])
+    found = Filter(net, 1.0)
+    batch = pa.record_batch({"text": pa.array([raw for _, raw in back], pa.large_binary())})
+    shares = np.concatenate([found.refusals(part) for part in slices([batch])])
+    found.margin = (1 + float(np.quantile(shares, 1 - REFUSED))) / 2
+    return found
+
+
 def known(docs: DataFrame) -> DataFrame:
-    """The documents, whole, that are predicted to be in a language.
+    """The documents, whole, that are in a language.
 
     If there is nothing to learn from, those with a letter.
     """
-    net = fit(docs)
-    if net is None:
+    found = fit_filter(docs)
+    if found is None:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
-    return passing(docs, lambda: lambda part: [name != UNKNOWN for name in predictions(net, part)[0]])
+    return passing(docs, lambda: found.passes)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -107,3 +107,48 @@ def test_segments_cover_every_position(labelled):
         alone = op.document_scores(net, part([own])) if own else np.zeros((1, 3))
         assert np.allclose(together[i], alone[0], atol=1e-5)
         assert together[i].sum() == pytest.approx(1 if own else 0, abs=1e-3)
+
+
+def test_letters_are_those_of_the_category(labelled):
+    rows, docs = labelled
+    odd = ["½ ² Ⅷ ①", "٣٤", "a", "ª", "字", "́"]
+    more = docs.sparkSession.createDataFrame([(2000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in op.report(docs.unionByName(more, allowMissingColumns=True)).collect()}
+    assert [got[2000 + i] == "und" for i in range(len(odd))] == [True, True, False, False, False, True]
+
+
+def test_text_in_no_learned_language_goes(labelled):
+    """Another script and letter noise go; labelled rows that were never learned from stay."""
+    rows, docs = labelled
+    rng = random.Random(4)
+
+    def words(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60))
+
+    strange = [
+        words("абвгдежзийклмнопрстуфхцчшщыэюя"),
+        words("人民自由平等权利教育社会生活世界"),
+        words("abcdefghijklmnopqrstuvwxyz"),
+        words("αβγδεζηθικλμνξοπρστυφχψω") * 50,
+    ]
+    more = docs.sparkSession.createDataFrame([(3000 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    kept = [r.doc_id for r in op.known(docs.unionByName(more, allowMissingColumns=True)).collect()]
+    assert not [i for i in kept if i is not None and i >= 3000]
+    never_learned = [i for i, t, name in rows if i is not None and i < 900 and crc32(str(i).encode()) % 3 == 1]
+    assert len(set(never_learned) & set(kept)) >= 0.97 * len(set(never_learned))
+
+
+def test_a_share_of_the_positions_decides(labelled):
+    """The filter's share counts every position of a text, and few positions decide nothing."""
+    import pyarrow as pa
+
+    from anchorline.llm.common import slices
+
+    rows, _ = labelled
+    net = op.train([(op.LANGUAGE + name, t.encode()) for _, t, name in rows[:90]] + [(op.NOISE, t) for t in op.noise()])
+    strange = "".join(chr(0x430 + i * 7 % 32) for i in range(900))
+    texts = [strange, rows[0][1] * 9 + strange, strange[:6], "", strange]
+    [part] = slices([pa.record_batch({"text": pa.array(texts, pa.large_string())})])
+    shares = op.Filter(net, 0.5).refusals(part)
+    assert shares[0] == pytest.approx(shares[4]) and shares[0] > 0.8
+    assert shares[1] < shares[0] and shares[2] < 0.5 and shares[3] == 0
