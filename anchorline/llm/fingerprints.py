@@ -5,11 +5,12 @@ s-mers inside it is its first or its last.  That depends on the k-mer alone, so
 an edit disturbs only the k-mers that contain it, and the chosen k-mers are
 anchors that two texts can be matched on by position.
 
-A fingerprint keeps the ``size`` anchors with the smallest hashes (first place of
-each) as ``position, hash`` pairs of 32 bits, in order of position, in hex.  The
-likeness of two fingerprints is the longest chain of common anchors that lie in
-the same order in both, over the anchors of their union that both could have
-kept: about the Jaccard index of the anchors, less what only moved text shares.
+A fingerprint holds all anchors of a text (first place of each), so it grows with
+the text.  The likeness of two is the longest chain of common anchors that lie in
+the same order in both, over the anchors of their union: the Jaccard index of the
+anchors, less what only moved text shares.  It is printed with bounded length, in
+hex: a 64-bit digest of all anchors, then the ``size`` ones with the smallest
+hashes as ``position, hash`` pairs of 32 bits, in order of position.
 
 Defined results: a NULL or empty text has the empty fingerprint, which is like
 itself (1) and like nothing else (0); a text with no chosen k-mer has one anchor,
@@ -67,28 +68,33 @@ def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]
 
 
 class Fingerprint:
-    """The kept anchors of a text."""
+    """The anchors of a text; ``size`` of them are printed."""
 
     def __init__(self, text: str | None, size: int = SIZE):
         at, found = syncmers(text or "")
-        hashes, first = np.unique((found >> np.uint64(32)).astype(np.uint32), return_index=True)
-        self.size = size
-        self.hashes, self.positions = hashes[:size], at[first[:size]]
+        self.hashes, first = np.unique((found >> np.uint64(32)).astype(np.uint32), return_index=True)
+        self.size, self.positions = size, at[first]
 
     def __str__(self) -> str:
-        anchors = np.empty(len(self.hashes), _ANCHOR)
-        order = np.argsort(self.positions, kind="stable")
-        anchors["position"], anchors["hash"] = self.positions[order], self.hashes[order]
-        return anchors.tobytes().hex()
+        if not len(self.hashes):
+            return ""
+        every = self._pairs(len(self.hashes))
+        return sha256(every).hexdigest()[:16] + self._pairs(self.size).hex()
+
+    def _pairs(self, size: int) -> bytes:
+        """The anchors with the smallest hashes, in order of position."""
+        pairs = np.empty(min(size, len(self.hashes)), _ANCHOR)
+        order = np.argsort(self.positions[:size], kind="stable")
+        pairs["position"], pairs["hash"] = self.positions[:size][order], self.hashes[:size][order]
+        return pairs.tobytes()
 
     def likeness(self, other: Fingerprint) -> float:
         if not len(self.hashes) or not len(other.hashes):
             return float(len(self.hashes) == len(other.hashes))
-        union = np.union1d(self.hashes, other.hashes)[: self.size]
         common, mine, yours = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
-        seen = common <= union[-1]
-        mine, yours = self.positions[mine[seen]], other.positions[yours[seen]]
-        return chain(yours[np.argsort(mine, kind="stable")].tolist()) / len(union)
+        union = len(self.hashes) + len(other.hashes) - len(common)
+        order = np.argsort(self.positions[mine], kind="stable")
+        return chain(other.positions[yours][order].tolist()) / union
 
 
 def chain(positions: list[int]) -> int:

@@ -82,3 +82,42 @@ def test_ranges_do_not_change_the_result(spark, plain_docs, partitions):
         assert sorted(op.report(plain_docs).collect()) == expected
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_local_edit_in_a_long_text_is_seen():
+    """All anchors count: one changed word of a long text changes print and likeness."""
+    text = " ".join(f"word{i * i % 99991}" for i in range(13_000))
+    assert len(text) > 115_000
+    new = text.replace(" word25 ", " other words entirely here ", 1)
+    one, other = op.Fingerprint(text), op.Fingerprint(new)
+    assert text != new and str(one) != str(other)
+    assert 0.99 < one.likeness(other) < 1
+    assert len(str(one)) == 16 + 16 * op.SIZE
+
+
+def test_a_passage_that_long_texts_share_is_seen():
+    words = [f"w{i * i % 7919}x{i}" for i in range(9_000)]
+    one = op.Fingerprint(" ".join(words[:5_000]))
+    other = op.Fingerprint(" ".join(words[4_800:]))
+    assert 0.005 < one.likeness(other) < 0.05
+
+
+def test_likeness_against_its_definition(plain):
+    """All common anchors and the longest chain by the quadratic rule."""
+
+    def anchors(text):
+        at, hashes = op.syncmers(text)
+        found = {}
+        for a, h in zip(at.tolist(), (hashes >> np.uint64(32)).tolist(), strict=True):
+            found.setdefault(h, a)
+        return found
+
+    texts = [t for t in plain.values() if t and len(t) < 1500][:14]
+    for x, y in zip(texts, texts[1:] + texts[:1], strict=True):
+        y = x[: len(x) // 2] + y
+        a, b = anchors(x), anchors(y)
+        places = [b[h] for h in sorted(a.keys() & b.keys(), key=a.get)]
+        best = []
+        for i, p in enumerate(places):
+            best.append(1 + max((best[j] for j in range(i) if places[j] < p), default=0))
+        assert op.Fingerprint(x).likeness(op.Fingerprint(y)) == max(best, default=0) / len(a.keys() | b.keys())
