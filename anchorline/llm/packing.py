@@ -29,7 +29,8 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import compress, filterfalse
+from operator import add, not_
 from zlib import crc32
 
 import numpy as np
@@ -112,22 +113,19 @@ class ChunkTokenizer:
                 found = self.whole(some)
             self.words.update(zip(some, found, strict=True))
 
-    def learn(self, chunks: set[bytes]) -> None:
-        plain, other = [], []
-        for chunk in chunks:
-            text = chunk.decode()
-            core = text.rstrip(BEHIND)
-            low = core.lower()
-            if low.isalpha() and CAPITAL_SIGMA not in core:
-                plain.append((chunk, low, text[len(core) :]))
-            else:
-                other.append((chunk, text))
-        behind = {tail for _, _, tail in plain} - self.words.keys()
-        self.words.update(zip(behind, self.whole(list(behind)), strict=True))
-        self.learn_words(list({low for _, low, _ in plain} - self.words.keys()))
-        for chunk, low, tail in plain:
-            self.known[chunk] = self.words[low] + self.words[tail]
-        self.known.update(zip([chunk for chunk, _ in other], self.whole([text for _, text in other]), strict=True))
+    def learn(self, chunks: list[bytes]) -> None:
+        texts = [chunk.decode() for chunk in chunks]
+        cores = [text.rstrip(BEHIND) for text in texts]
+        lows = list(map(str.lower, cores))
+        plain = [low.isalpha() and CAPITAL_SIGMA not in core for low, core in zip(lows, cores, strict=True)]
+        tails = [text[len(core) :] for text, core in zip(texts, cores, strict=True)]
+        behind = list(set(compress(tails, plain)) - self.words.keys())
+        self.words.update(zip(behind, self.whole(behind), strict=True))
+        self.learn_words(list(set(compress(lows, plain)) - self.words.keys()))
+        found = map(add, map(self.words.get, compress(lows, plain)), map(self.words.get, compress(tails, plain)))
+        self.known.update(zip(compress(chunks, plain), found, strict=True))
+        other = list(map(not_, plain))
+        self.known.update(zip(compress(chunks, other), self.whole(list(compress(texts, other))), strict=True))
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
@@ -139,7 +137,7 @@ class ChunkTokenizer:
         for chunks in split:
             new.update(filterfalse(self.known.__contains__, chunks))
         if new:
-            self.learn(new)
+            self.learn(list(new))
         for chunks in split:
             yield b"".join(map(self.known.__getitem__, chunks))
 
