@@ -176,15 +176,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, members: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
+#: Powers a worker keeps: enough for one slice.
+KEPT_POWERS = 1 << (SLICE_BYTES + 1024).bit_length()
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+_kept_powers = lru_cache(maxsize=2)(_powers)
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    return _powers(1 << max(n, SLICE_BYTES + 1024).bit_length(), base)[:n]
+    """The first ``n`` powers; more than a slice needs are made anew and not kept."""
+    return _kept_powers(KEPT_POWERS, base)[:n] if n <= KEPT_POWERS else _powers(n, base)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -62,8 +62,9 @@ def test_two_smaller_pieces_replace_the_smallest():
 
 
 def least_sequences(histogram, capacity):
-    """No packing has fewer: pieces above capacity - k share with none of k or more."""
-    best = 0
+    """No packing has fewer: at most m pieces above capacity / (m + 1) share a sequence,
+    and pieces above capacity - k share with none of k or more."""
+    best = max(-(-sum(c for n, c in histogram.items() if n * (m + 1) > capacity) // m) for m in range(1, capacity + 1))
     for k in range(capacity // 2 + 1):
         alone = sum(c for n, c in histogram.items() if n > capacity - k)
         wide = {n: c for n, c in histogram.items() if capacity / 2 < n <= capacity - k}
