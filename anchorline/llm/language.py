@@ -25,6 +25,7 @@ results; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slice, passing, record_batch, slices
+from .common import LOWER, Slice, passing, record_batch, slices
 
 PER_LANGUAGE = 256
 SNIPPET = 64
@@ -279,21 +280,25 @@ def noise(count: int = NOISE_TEXTS, seed: int = 11) -> list[bytes]:
         gaps = rng.random(len(letters)) < rng.uniform(0.05, 0.25)
         points = np.where(gaps, ord(" "), letters)
         points = points[(points < 0xD800) | (points > 0xDFFF)]
-        text = "".join(map(chr, points.tolist()))
-        texts.append((text.upper() if latin and rng.random() < 0.2 else text).encode())
+        texts.append("".join(map(chr, points.tolist())).encode())
     return texts
 
 
 @dataclass
 class Filter:
-    """A network with a class for text in no language, and the margin above which a text goes."""
+    """A network with a class for text in no language, and the margin above which a text goes.
+
+    It reads A-Z as a-z, so that text in capitals is judged like any other.
+    """
 
     net: Network
     margin: float
 
     def refusals(self, part: Slice) -> np.ndarray:
         """Each text's share of positions in no language, beside ``PRIOR`` positions in one."""
-        scores = document_scores(self.net, part)[:, self.net.languages.index(NOISE)]
+        lower = copy(part)
+        lower.data = LOWER[part.data]
+        scores = document_scores(self.net, lower)[:, self.net.languages.index(NOISE)]
         return scores * part.lengths / (part.lengths + PRIOR)
 
     def passes(self, part: Slice) -> list[bool]:
@@ -311,7 +316,7 @@ def fit_filter(docs: DataFrame) -> Filter | None:
     The margin is halfway between 1 and the share that all but ``REFUSED`` of the
     texts kept from training stay below.
     """
-    snippets = [(LANGUAGE + name, raw) for name, raw in sample(docs, ~held_out())]
+    snippets = [(LANGUAGE + name, raw.lower()) for name, raw in sample(docs, ~held_out())]
     if not snippets:
         return None
     back = snippets[::KEPT_BACK]

@@ -132,8 +132,11 @@ def test_text_in_no_learned_language_goes(labelled):
         words("αβγδεζηθικλμνξοπρστυφχψω") * 50,
     ]
     more = docs.sparkSession.createDataFrame([(3000 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    capitals = [(4000 + i, t.upper()) for i, t, _ in rows[:30]]
+    more = more.unionAll(docs.sparkSession.createDataFrame(capitals, "doc_id long, text string"))
     kept = [r.doc_id for r in op.known(docs.unionByName(more, allowMissingColumns=True)).collect()]
-    assert not [i for i in kept if i is not None and i >= 3000]
+    assert not [i for i in kept if i is not None and 3000 <= i < 4000]
+    assert len([i for i in kept if i is not None and i >= 4000]) == len(capitals)
     never_learned = [i for i, t, name in rows if i is not None and i < 900 and crc32(str(i).encode()) % 3 == 1]
     assert len(set(never_learned) & set(kept)) >= 0.97 * len(set(never_learned))
 
