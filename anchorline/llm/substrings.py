@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 from itertools import groupby
 from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ from .superkmers import KEYS, Repeats, Scheme, distinct_rows, in_buckets, repeat
 
 WORDS = Scheme(window=50, k=8, words=True)
 
+#: bytes of windows of a bucket that are sorted at a time
+STEP_WINDOW_BYTES = 1 << 26
+
 FIRSTS = "minimiser long, content long, lo int, hi int, seen long, first_id long"
 _FIRSTS = pa.schema(
     [
@@ -42,26 +46,36 @@ _FIRSTS = pa.schema(
 )
 
 
-def count_windows(strings: list[bytes], copies: list[int], ids: list[int], window: int) -> Iterator[tuple]:
+def count_windows(
+    strings: list[bytes], copies: list[int], ids: list[int], window: int, step: int = STEP_WINDOW_BYTES
+) -> Iterator[tuple]:
     """Runs ``(string, lo, hi, seen, first id)`` of the windows of one bucket's strings.
 
     Windows of a string that occur equally often and first in the same document
-    make one run; windows that occur once are left out.
+    make one run; windows that occur once are left out.  About ``step`` bytes of
+    windows are sorted at a time.
     """
-    windows = []
-    for number, packed in enumerate(strings):
-        begins = [0, *(np.flatnonzero(np.frombuffer(packed, np.uint8) == 32) + 1).tolist(), len(packed) + 1]
-        for at in range(len(begins) - window):
-            windows.append((packed[begins[at] : begins[at + window] - 1], number, at))
-    windows.sort()
+    begins = [
+        [0, *(np.flatnonzero(np.frombuffer(packed, np.uint8) == 32) + 1).tolist(), len(packed) + 1] for packed in strings
+    ]
+    load = sum((len(b) - window) * len(packed) for b, packed in zip(begins, strings, strict=True))
+    classes = max(1, -(-load // step))
     found = []
-    for _, same in groupby(windows, key=itemgetter(0)):
-        places = [(number, at) for _, number, at in same]
-        owners = {number for number, _ in places}
-        seen = sum(copies[number] for number, _ in places)
-        if seen > 1:
-            first = min(ids[number] for number in owners)
-            found.extend((number, at, seen, first) for number, at in places)
+    for chosen in range(classes):  # equal windows are in one class
+        windows = []
+        for number, (packed, edges) in enumerate(zip(strings, begins, strict=True)):
+            for at in range(len(edges) - window):
+                text = packed[edges[at] : edges[at + window] - 1]
+                if classes == 1 or crc32(text) % classes == chosen:
+                    windows.append((text, number, at))
+        windows.sort()
+        for _, same in groupby(windows, key=itemgetter(0)):
+            places = [(number, at) for _, number, at in same]
+            owners = {number for number, _ in places}
+            seen = sum(copies[number] for number, _ in places)
+            if seen > 1:
+                first = min(ids[number] for number in owners)
+                found.extend((number, at, seen, first) for number, at in places)
     found.sort()
     run = None
     for number, at, seen, first in found:

@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Prefix, keyed_text, record_batch, slices
-from .superkmers import KEYS, Repeats, Scheme, distinct_rows, in_buckets, repeats
+from .superkmers import KEYS, Repeats, Scheme, distinct_rows, in_buckets, repeats, step_edges
 
 BYTES = Scheme(window=400, k=64, words=False)
 
+#: windows of a bucket that are sorted at a time
+STEP_WINDOWS = 1 << 19
 #: precedes a string's first suffix, and is unlike any byte and itself
 OPEN = -1
 
@@ -107,53 +109,75 @@ def maximal_repeats(suffixes: list[tuple[bytes, int, int]], window: int) -> tupl
     return longest, found
 
 
-def _scan(scheme: Scheme):
+def _heads(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """The hash of every window of every string, a step's bytes at a time."""
+    edges = step_edges(sizes, np.arange(1, len(sizes) + 1))
+    heads = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        first, counts = begins[a], sizes[a:b] - window + 1
+        opens = np.repeat(begins[a:b] - first - (np.cumsum(counts) - counts), counts)
+        hashes = Prefix(data[first : begins[b - 1] + sizes[b - 1]]).windows(window)
+        heads.append(hashes[opens + np.arange(len(opens))])
+    return np.concatenate(heads)
+
+
+def _scan(scheme: Scheme, step: int = STEP_WINDOWS):
     window = scheme.window
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = distinct_rows(table)
         packed = table.column("packed").to_pylist()
-        minimiser, content, copies = (table.column(c).to_numpy() for c in ("minimiser", "content", "copies"))
+        names = tuple(table.column(c).to_numpy() for c in ("minimiser", "content", "copies"))
         sizes = np.array([len(p) for p in packed])
         begins = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(packed), np.uint8)
-        counts = sizes - window + 1
-        owner = np.repeat(np.arange(len(sizes)), counts)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        place = begins[owner] + at
-        head = Prefix(data).windows(window)[place]
-        before = np.where(at > 0, data[np.maximum(place - 1, 0)].astype(np.int64), OPEN)
-
-        order = np.argsort(head, kind="stable")
-        opens = np.flatnonzero(np.concatenate(([True], head[order][1:] != head[order][:-1])))
-        left = before[order]
-        often = np.add.reduceat(copies[owner[order]], opens) > 1
-        low, high = np.minimum.reduceat(left, opens), np.maximum.reduceat(left, opens)
-        chosen = np.flatnonzero(often & ((low == OPEN) | (low != high)))
-        ends = np.append(opens[1:], len(order))
-
-        rows: list[tuple] = []
-        for group in chosen.tolist():
-            members = []
-            for i in order[opens[group] : ends[group]].tolist():
-                text = packed[owner[i]]
-                members.append((text[at[i] :], int(before[i]), int(copies[owner[i]]), int(owner[i]), int(at[i])))
-            members.sort()
-            longest, found = maximal_repeats([m[:3] for m in members], window)
-            starts: dict[int, list[dict]] = {}
-            for length, first, last in found:
-                starts.setdefault(first, []).append({"length": length, "last": last})
-            array = int(head[order[opens[group]]].view(np.int64))
-            for rank, (member, most) in enumerate(zip(members, longest, strict=True)):
-                if most or rank in starts:
-                    _, _, _, string, offset = member
-                    rows.append((array, rank, minimiser[string], content[string], offset, most, starts.get(rank, [])))
-        if rows:
-            yield record_batch(_SUFFIXES, *map(list, zip(*rows, strict=True)))
+        heads = _heads(data, begins, sizes, window)
+        closes = np.cumsum(sizes - window + 1)
+        classes = -(-len(heads) // step)
+        for number in range(classes):  # equal windows are in one class
+            windows = np.arange(len(heads)) if classes == 1 else np.flatnonzero(heads % np.uint64(classes) == number)
+            owner = np.searchsorted(closes, windows, "right")
+            at = windows - closes[owner] + sizes[owner] - window + 1
+            before = np.where(at > 0, data[np.maximum(begins[owner] + at - 1, 0)].astype(np.int64), OPEN)
+            rows = _arrays(packed, names, owner, at, before, heads[windows], window)
+            if rows:
+                yield record_batch(_SUFFIXES, *map(list, zip(*rows, strict=True)))
 
     return work
 
 
+def _arrays(packed: list[bytes], names: tuple, owner, at, before, head, window: int) -> list[tuple]:
+    """The rows of ``suffix_arrays`` for windows given by string, place, byte before and hash."""
+    if not len(head):
+        return []
+    minimiser, content, copies = names
+    order = np.argsort(head, kind="stable")
+    opens = np.flatnonzero(np.concatenate(([True], head[order][1:] != head[order][:-1])))
+    left = before[order]
+    often = np.add.reduceat(copies[owner[order]], opens) > 1
+    low, high = np.minimum.reduceat(left, opens), np.maximum.reduceat(left, opens)
+    chosen = np.flatnonzero(often & ((low == OPEN) | (low != high)))
+    ends = np.append(opens[1:], len(order))
+
+    rows: list[tuple] = []
+    for group in chosen.tolist():
+        members = []
+        for i in order[opens[group] : ends[group]].tolist():
+            text = packed[owner[i]]
+            members.append((text[at[i] :], int(before[i]), int(copies[owner[i]]), int(owner[i]), int(at[i])))
+        members.sort()
+        longest, found = maximal_repeats([m[:3] for m in members], window)
+        starts: dict[int, list[dict]] = {}
+        for length, first, last in found:
+            starts.setdefault(first, []).append({"length": length, "last": last})
+        array = int(head[order[opens[group]]].view(np.int64))
+        for rank, (member, most) in enumerate(zip(members, longest, strict=True)):
+            if most or rank in starts:
+                _, _, _, string, offset = member
+                rows.append((array, rank, minimiser[string], content[string], offset, most, starts.get(rank, [])))
+    return rows
+
+
 def suffix_arrays(found: Repeats) -> DataFrame:
     """The sorted suffixes that begin maximal repeats, with their interval tree.
 

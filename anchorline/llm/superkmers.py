@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ SHARE = 8192
 #: distinct strings of a bucket that one task takes, and of which so many are sampled
 LIMIT = 1 << 15
 SAMPLE = 64
+#: bytes of texts or strings that one vectorised step works on
+STEP_BYTES = 1 << 18
 
 _POSITION_BITS = np.uint64(30)
 _FREQUENT = np.uint64(1 << 63)
@@ -132,7 +135,7 @@ def frequent_slots(texts: DataFrame, scheme: Scheme, share: int = SHARE) -> np.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = np.zeros(1 << SLOT_BITS, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, budget=STEP_BYTES):
             tokens, bounds = scheme.tokens(part)
             hashes = Prefix(tokens).windows(scheme.k)
             inside = scheme.starts(bounds, scheme.k, len(tokens))
@@ -184,7 +187,7 @@ def all_runs(texts: DataFrame, scheme: Scheme, frequent: np.ndarray, shared: np.
     """Every super-k-mer of the keyed texts as a small row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, budget=STEP_BYTES):
             owner, *columns = super_kmers(part, scheme, frequent, shared)
             keys = [part.numbers(name)[owner] for name in KEYS]
             yield record_batch(_RUNS, *keys, *columns)
@@ -222,7 +225,8 @@ def in_common(texts: DataFrame, scheme: Scheme, buckets: DataFrame) -> DataFrame
                         yield record_batch(_SHARED, np.full(len(found), next(own)["minimiser"]), found)
 
     picks = buckets.groupBy(*KEYS).agg(F.collect_list(F.struct("minimiser", "start", "n_windows")).alias("picks"))
-    rows = texts.dropDuplicates(KEYS).join(picks, KEYS).select("text", "picks").mapInArrow(run, SHARED)
+    asked = texts.join(picks, KEYS).dropDuplicates(KEYS)  # only the few texts asked for are sorted
+    rows = asked.select("text", "picks").mapInArrow(run, SHARED)
     common = rows.groupBy("bucket", "kmer").count().where(F.col("count") >= SAMPLE // 8)
     return common.select(F.col("kmer").alias("minimiser")).unionAll(buckets.select("minimiser")).distinct()
 
@@ -305,16 +309,42 @@ def _strings(fetched: DataFrame, scheme: Scheme) -> DataFrame:
 def in_buckets(
     strings: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``work`` on tables of whole buckets, sorted by minimiser and content."""
+    """``work`` on tables of whole buckets, sorted by minimiser and content.
+
+    A table holds about ``STEP_BYTES`` of strings, or one bucket with more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "minimiser"):
-            yield from work(table)
+        for groups in whole_groups(batches, "minimiser"):
+            for table in in_steps(groups):
+                yield from work(table)
 
     dealt = strings.repartition(parallelism(strings.sparkSession), "minimiser")
     return dealt.sortWithinPartitions("minimiser", "content").mapInArrow(run, schema)
 
 
+def step_edges(sizes: np.ndarray, cuts: np.ndarray, budget: int = STEP_BYTES) -> list[int]:
+    """Those of the sorted ``cuts`` that divide rows of these sizes into steps of about ``budget``."""
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    edges = [0]
+    while edges[-1] < len(sizes):
+        reach = np.searchsorted(total, total[edges[-1]] + budget, "right") - 1
+        at = int(np.searchsorted(cuts, reach, "right")) - 1
+        if at < 0 or cuts[at] <= edges[-1]:  # more than a step between two cuts
+            at = int(np.searchsorted(cuts, edges[-1], "right"))
+        edges.append(int(cuts[at]) if at < len(cuts) else len(sizes))
+    return edges
+
+
+def in_steps(table: pa.Table, budget: int = STEP_BYTES) -> Iterator[pa.Table]:
+    """The table in parts of about ``budget`` bytes of strings, cut between buckets only."""
+    keys = table.column("minimiser").to_numpy()
+    cuts = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
+    edges = step_edges(pc.binary_length(table.column("packed")).to_numpy(), cuts, budget)
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield table.slice(a, b - a)
+
+
 def distinct_rows(table: pa.Table) -> pa.Table:
     """One row of each string: a repeated document may have sent it twice."""
     keys = np.stack([table.column(name).to_numpy() for name in ("minimiser", "content")])
