@@ -67,3 +67,89 @@ def test_repeated_notices_are_several_rows(spark):
     text = " filler words between them ".join([op.TEMPLATES["MIT"]] * 3)
     got = scan(spark, [text, text])
     assert [(r.doc_id, r.license) for r in got] == [(0, "MIT")] * 3 + [(1, "MIT")] * 3
+
+
+def test_relatives_are_not_taken_for_each_other(spark):
+    wanted = {
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 1.": [],
+        "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
+        "Licensed under CC BY 3.0": [],
+        "Released under the BSD 3-Clause License": ["BSD-3-Clause"],
+        "Released under the XYZ License": [],
+        "Released under the License": [],
+        "This work is licensed under the GNU General Public License": [],
+        "Licensed under the Apache License, Version 1.1": [],
+        op.TEMPLATES["MPL-2.0"]: ["MPL-2.0"],
+        op.TEMPLATES["LGPL-2.1 notice"]: ["LGPL-2.1 notice"],
+    }
+    got = scan(spark, list(wanted))
+    assert [[r.license for r in got if r.doc_id == at] for at in range(len(wanted))] == list(wanted.values())
+    alone = {"GPL-3.0": op.TEMPLATES["GPL-3.0"]}  # the relative has no template of its own
+    texts = [op.TEMPLATES["LGPL-3.0"], op.TEMPLATES["AGPL-3.0"], op.TEMPLATES["GPL-2.0"]]
+    assert scan(spark, texts, templates=alone) == []
+
+
+def test_words_between_lower_the_coverage(spark):
+    words = op.TEMPLATES["MIT"].split()
+    (row,) = scan(spark, [" ".join([words[0], "some", *words[1:]])])
+    assert (row.license, row.n_matched, row.coverage) == ("MIT", 5, 5 / 6)
+    assert scan(spark, [" ".join([words[0], "some", "of", *words[1:]])]) == []
+
+
+def test_every_template_against_brute_force(spark):
+    """Templates with edits in prose: every diagonal of every template is aligned."""
+    import random
+    import re
+
+    rng = random.Random(21)
+    filler = ["lorem", "ipsum", "the", "of", "dolor", "software", "is", "amet"]
+    texts = []
+    for text in op.TEMPLATES.values():
+        words = re.findall(r"[A-Za-z0-9]+", text)
+        for edits in (0, len(words) // 12, len(words) // 3):
+            own = list(words)
+            for _ in range(edits):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = [rng.choice(filler)] * rng.randint(0, 1)
+            texts.append(" ".join([*rng.choices(filler, k=5), *own, *rng.choices(filler, k=5)]))
+
+    def longest(template, text, first):
+        band = op.BAND
+        best = {}
+        for i in range(len(template) + 1):
+            for d in range(-band, band + 1):
+                j = first + i + d  # words of the text before this cell
+                found = []
+                if i and j > 0 and j <= len(text) and template[i - 1] == text[j - 1]:
+                    found.append(best.get((i - 1, d), 0) + 1)
+                best[i, d] = max([*found, best.get((i - 1, d + 1), 0) if i else 0, best.get((i, d - 1), 0) if i else 0])
+        return max(best[len(template), d] for d in range(-band, band + 1))
+
+    got = {(r.doc_id, r.license): r.n_matched for r in scan(spark, texts)}
+    split = {name: re.findall(r"[a-z0-9]+", text.lower()) for name, text in op.TEMPLATES.items()}
+    for doc, text in enumerate(texts):
+        words = text.lower().split()
+        whole = list(split)[doc // 3]
+        if doc % 3 == 0:  # the untouched one is found whole
+            assert got[doc, whole] == len(split[whole])
+        for name in {n for d, n in got if d == doc}:  # whatever is found, no diagonal holds more of it
+            most = max(longest(split[name], words, f) for f in range(-op.BAND, len(words)))
+            assert 0.8 * len(split[name]) <= got[doc, name] <= most
+            if len(split[name]) == len(split[whole]):
+                assert re.sub(r"\d", "", name) == re.sub(r"\d", "", whole)  # a version may be lost
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    (tmp_path / "own-1.0.txt").write_text("May be used by anyone\nfor anything at all, forever.")
+    found = op.stored_templates(spark, str(tmp_path))
+    assert list(found) == ["own-1.0"]
+    (row,) = scan(spark, ["so: may be used by anyone for anything at all forever"], templates=found)
+    assert (row.license, row.coverage) == ("own-1.0", 1.0)
+    import pytest
+
+    with pytest.raises(ValueError):
+        op.stored_templates(spark, str(tmp_path), limit=5)
