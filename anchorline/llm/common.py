@@ -1,7 +1,8 @@
 """Helpers shared by the text operators: tables, staging, Arrow slices, token hashes.
 
-Python work happens inside ``mapInArrow`` on slices of a few megabytes, so a
-task never holds more than one Arrow batch and one slice (or one long text).
+Python work happens inside ``mapInArrow`` on slices of half a megabyte, so a task
+never holds more than one Arrow batch of ``BATCH_BYTES`` and one slice (or one long
+text).
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from ..operators.staging import shared_folder, staged
 
 #: Bytes of text that one vectorised step works on; a longer text is one step.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of rows that Spark hands to a worker at a time; a longer row comes alone.
+BATCH_BYTES = 4 << 20
 #: Stands in for a missing doc_id: such rows come after all others.
 NO_ID = (1 << 63) - 1
 
@@ -29,7 +32,12 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application, and bound Arrow batches.
+
+    Left alone, a batch is ten thousand rows, however long their texts are, and is held
+    several times over on both sides of the pipe.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_anchorline_sent", False):
         return
@@ -141,6 +149,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
             hi = min(max(hi, lo + 1), len(values))
             yield Slice(batch, lo, hi, offsets, data)
             lo = hi
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def byte_class(pattern: bytes) -> np.ndarray:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from anchorline.llm import common as op
 
@@ -20,3 +21,15 @@ def test_spans_of_long_token_arrays_equal_those_alone():
     for at, hashed in zip(starts.tolist(), found.tolist(), strict=True):
         alone = op.Prefix(tokens[at : at + 300]).spans(np.array([0]), np.array([300]))
         assert alone.tolist() == [hashed]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    got = op.keyed_text(docs).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 3000
+    assert max(r.size for r in got) < 1.1 * op.BATCH_BYTES
