@@ -20,6 +20,7 @@ from ..operators import (
     staged,
     within_anchor,
 )
+from ..session import apply_plan_settings
 from ..sources.metadata import Bounds
 from ..sources.tables import ClinicalTables
 from .cohort import (
@@ -66,9 +67,14 @@ def extract(
     params: ExtractionParams = DEFAULT_PARAMS,
     stage: bool = True,
     limits: PlanLimits = DEFAULT_LIMITS,
+    settings: bool = True,
 ) -> Extraction:
     """Run the extraction for a list of subjects.
 
+    The plan settings (``session.PLAN_SETTINGS``) are put in force on the session of
+    ``subjects``, as its frames are run later; none changes results.  ``settings=False``
+    leaves the session as it is.
+
     The length of the subject list is counted; it bounds the cohort and decides
     whether the anchor may be broadcast.
 
@@ -82,6 +88,8 @@ def extract(
     for a literal IN cuts the chart rows by a join instead.  The stage of a run
     is a folder of its own; ``discard_stage`` removes it.
     """
+    if settings:
+        apply_plan_settings(subjects.sparkSession)
     listed = subjects.count()
     index = index_admissions(tables.admissions, tables.patients, subjects, listed)
     folder = None

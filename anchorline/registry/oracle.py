@@ -399,6 +399,8 @@ _SELECTS = {
         JOIN vital_bounds b ON v.itemid = b.itemid WHERE v.valuenum BETWEEN b.lo AND b.hi""",
     "labs_48h": "SELECT * FROM labs",
     "labs_48h_shuffled": "SELECT * FROM labs",
+    "labs_48h_clustered": "SELECT * FROM labs",
+    "vitals_48h_clustered": "SELECT * FROM vitals",
     "vitals_48h": "SELECT * FROM vitals",
     "cohort_features": "SELECT * FROM wide",
     "extract_cohort": "SELECT * FROM wide",

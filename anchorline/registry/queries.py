@@ -24,7 +24,7 @@ from ..plans.extraction import Extraction, extract
 from ..plans.measures import labs_in_window, plausible, vitals_in_window
 from ..plans.models import LogisticModel, load_models, save_models
 from ..plans.scoring import score_subjects
-from ..sources import Bounds, ClinicalTables, load_bounds, load_subjects, publish, write_outputs
+from ..sources import Bounds, ClinicalTables, load_bounds, load_subjects, publish, write_clustered, write_outputs
 from ..sources.quarantine import rejected_values
 from ..sources.retail import clinical_tables, read_table, subject_list
 from ..sources.schemas import MEASURE_COLUMNS, SOURCE_SCHEMAS
@@ -192,6 +192,20 @@ def labs_shuffled(s: _Study) -> DataFrame:
     return labs_in_window(s.tables.labevents, anchor, s.lab_bounds)
 
 
+def labs_clustered(s: _Study) -> DataFrame:
+    """The labs of the window, read from a table stored along its items and times."""
+    path = s.scratch
+    write_clustered(s.tables.labevents, path, ["itemid", "charttime"])
+    return labs_in_window(s.spark.read.parquet(path), s.anchor, s.lab_bounds)
+
+
+def vitals_clustered(s: _Study) -> DataFrame:
+    """The vital signs of the window, read from a table stored along its items and times."""
+    path = s.scratch
+    write_clustered(s.tables.chartevents, path, ["itemid", "charttime"])
+    return vitals_in_window(s.spark.read.parquet(path), s.anchor, s.vital_bounds)
+
+
 # --- sources and sinks ----------------------------------------------------------
 
 
@@ -390,6 +404,8 @@ _QUERIES: dict[str, Callable[[_Study], DataFrame]] = {
     "labs_48h": lambda s: s.labs,
     "vitals_48h": lambda s: s.vitals,
     "labs_48h_shuffled": labs_shuffled,
+    "labs_48h_clustered": labs_clustered,
+    "vitals_48h_clustered": vitals_clustered,
     "cohort_features": lambda s: s.features,
     "extract_cohort": lambda s: s.extraction().cohort,
     "extract_vitals": lambda s: s.extraction().vitals,

@@ -1,3 +1,4 @@
+from .clustered import store_clustered, write_clustered
 from .metadata import Bounds, load_bounds, load_subjects
 from .publish import Published, current, publish
 from .sinks import write_outputs
@@ -11,5 +12,7 @@ __all__ = [
     "load_bounds",
     "load_subjects",
     "publish",
+    "store_clustered",
+    "write_clustered",
     "write_outputs",
 ]

@@ -1,0 +1,122 @@
+"""Event tables stored along items and times: equal rows, fewer of them read."""
+
+import random
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from anchorline import Bounds, extract
+from anchorline import fixed_values as fv
+from anchorline.session import PLAN_SETTINGS
+from anchorline.sources.clustered import interleaved, quantile_cuts, step_of, store_clustered, write_clustered
+from brute import random_clinic
+from clinic import subject_ids, tables
+
+
+def labs(spark, hot=False):
+    """20,000 events of 50 items in a year; if hot, a third are of one item and instant."""
+    rows = spark.range(20_000, numPartitions=4)
+    mixed = F.xxhash64("id")
+    item = F.pmod(mixed, F.lit(50)) * 7 + 50_000
+    time = F.expr("TIMESTAMP_NTZ '2100-01-01'") + F.make_dt_interval(mins=F.pmod(F.xxhash64("id", F.lit(1)), F.lit(525_600)).cast("int"))
+    if hot:
+        item = F.when(F.col("id") % 3 == 0, 50_007).otherwise(item)
+        time = F.when(F.col("id") % 3 == 0, F.expr("TIMESTAMP_NTZ '2100-06-01'")).otherwise(time)
+    return rows.select(
+        (F.col("id") % 400).cast("int").alias("hadm_id"),
+        item.cast("int").alias("itemid"),
+        time.alias("charttime"),
+        (F.col("id") / 7).alias("valuenum"),
+    )
+
+
+def rows_read(df):
+    """What the scans of a plan gave to the filters above them."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_bits_are_interleaved_and_steps_follow_the_cuts(spark):
+    pairs = [(x, y) for x in range(8) for y in range(8)]
+    frame = spark.createDataFrame(pairs, "x int, y int")
+    got = {(r.x, r.y): r.z for r in frame.withColumn("z", interleaved([F.col("x"), F.col("y")], 3)).collect()}
+    assert got == {
+        (x, y): sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(3)) for x, y in pairs
+    }
+    values = [None, -1.0, 0.0, 2.0, 2.5, 9.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    steps = {r.v: r.s for r in frame.withColumn("s", step_of(F.col("v"), [0.0, 2.0, 4.0])).collect()}
+    assert steps == {None: 0, -1.0: 0, 0.0: 0, 2.0: 1, 2.5: 2, 9.0: 3}
+
+
+def test_fewer_row_groups_and_rows_are_read(spark, tmp_path):
+    plain, stored = f"{tmp_path}/plain", f"{tmp_path}/stored"
+    events = labs(spark)
+    events.repartition(16).write.parquet(plain)
+    write_clustered(events, stored, ["itemid", "charttime"], files=64)
+
+    def asked(path):
+        few = F.col("itemid").isin(50_007, 50_014) & F.col("charttime").between(
+            F.expr("TIMESTAMP_NTZ '2100-03-01'"), F.expr("TIMESTAMP_NTZ '2100-03-20'")
+        )
+        return spark.read.parquet(path).where(few)
+
+    assert sorted(asked(stored).collect()) == sorted(asked(plain).collect()) != []
+    assert rows_read(asked(plain)) == 20_000
+    assert rows_read(asked(stored)) < 20_000 / 5
+    assert sorted(spark.read.parquet(stored).collect()) == sorted(events.collect())
+
+
+def test_visits_have_a_bloom_filter(spark, tmp_path):
+    stored = f"{tmp_path}/stored"
+    write_clustered(labs(spark).where("hadm_id % 2 = 0"), stored, ["itemid", "charttime"], files=4)
+    # an odd visit lies inside every file's minimum and maximum
+    assert rows_read(spark.read.parquet(stored).where("hadm_id = 201")) < 20_000 / 4
+    assert spark.read.parquet(stored).where("hadm_id = 200").count() == 50
+
+
+def test_a_hot_item_is_spread_over_files(spark, tmp_path):
+    stored = tmp_path / "stored"
+    write_clustered(labs(spark, hot=True), str(stored), ["itemid", "charttime"], files=12)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in stored.glob("*.parquet")]
+    assert sum(sizes) == 20_000 and max(sizes) < 20_000 / 5
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None)] * 3 + [(1, 5, None), (2, None, None)]])
+def test_empty_tables_missing_values_and_clashing_names(spark, tmp_path, rows):
+    events = spark.createDataFrame(rows, "hadm_id int, itemid int, charttime timestamp_ntz")
+    events = events.withColumn("_z", F.lit("own")).withColumn("a.b", F.lit(1))
+    write_clustered(events, str(tmp_path / "t"), ["itemid", "charttime"])
+    found = spark.read.schema(events.schema).parquet(str(tmp_path / "t"))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, events.collect()))
+    assert quantile_cuts(events, ["itemid"])["itemid"] == sorted({float(i) for _, i, _ in rows if i is not None})
+
+
+def test_the_extraction_is_the_same_from_stored_tables(spark, tmp_path):
+    rows = random_clinic(5)
+    ids = sorted({a["subject_id"] for a in rows["admissions"]})
+    clinic = tables(spark, **rows)
+
+    def outputs(source):
+        bounds = (Bounds.from_rows(spark, fv.LAB_BOUNDS), Bounds.from_rows(spark, fv.VITAL_BOUNDS))
+        result = extract(source, subject_ids(spark, ids), *bounds)
+        return {name: sorted(map(repr, frame.collect())) for name, frame in result.outputs().items()}
+
+    assert outputs(store_clustered(spark, clinic, str(tmp_path), files=3)) == outputs(clinic)
+
+
+def test_extract_puts_the_plan_settings_in_force(spark):
+    key = "spark.sql.parquet.pushdown.inFilterThreshold"
+    clinic, ids = tables(spark, **random_clinic(5)), subject_ids(spark, [1, 2])
+    bounds = (Bounds.from_rows(spark, fv.LAB_BOUNDS), Bounds.from_rows(spark, fv.VITAL_BOUNDS))
+    spark.conf.set(key, "10")
+    try:
+        extract(clinic, ids, *bounds, stage=False, settings=False)
+        assert spark.conf.get(key) == "10"
+        extract(clinic, ids, *bounds, stage=False)
+        assert {name: spark.conf.get(name) for name in PLAN_SETTINGS} == PLAN_SETTINGS
+    finally:
+        spark.conf.set(key, PLAN_SETTINGS[key])
