@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.times import hours, true_or_zero
 from .sizing import DEFAULT_LIMITS, PlanLimits, fits_broadcast
@@ -51,6 +52,9 @@ def within_anchor(
     hashed, so that events need no sort; beyond that, and for an uncounted
     anchor, Spark chooses, and a sort-merge join can spill.  In all shuffled
     forms AQE may cut a hot visit's events into as many pieces as it needs.
+
+    Before the shuffled join with a measured anchor, most events of other visits
+    are dropped by ``of_known_keys`` on the last key of ``on``.
     """
     opened = anchor.visits.select(*on, F.col(anchor.start).alias("_start"))
     partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -62,6 +66,8 @@ def within_anchor(
         first, last = anchor.span
         until = last + timedelta(hours=window_hours)
         events = events.where(F.col(time).between(_instant(first), _instant(until)))
+        if not fits_broadcast(anchor.max_rows, anchor.limits.broadcast_rows):
+            events = of_known_keys(events, opened, on[-1], anchor.max_rows)
     return (
         events.join(opened, list(on))
         .where(F.col(time).between(F.col("_start"), F.col("_start") + hours(window_hours)))
@@ -69,6 +75,33 @@ def within_anchor(
     )
 
 
+# 8 MB of bits, whatever the number of keys
+MOST_SLOTS = 1 << 26
+
+
+def of_known_keys(df: DataFrame, known: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in ``known``; no row of a known key is lost.
+
+    The keys of ``known`` (about ``rows``) are marked in a bit map of 16 slots per
+    key, an array of words that a scalar subquery gives.  The test is a plain
+    predicate, so it sinks to the scan and rows are dropped before any shuffle.
+    About one of 17 unknown keys passes up to 4 million keys, more of them beyond,
+    as the map stays within ``MOST_SLOTS``: an exact join has to follow.  Keys that
+    are no integers are not tested.
+    """
+    if not all(isinstance(side.schema[key].dataType, T.IntegralType) for side in (df, known)):
+        return df
+    slots = min(MOST_SLOTS, 1 << max(16, (16 * rows - 1).bit_length()))
+    # ids of another width are equal, so they must have equal hashes
+    slot = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(slots))
+    word, bit = F.shiftrightunsigned(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    marks = known.select(word.alias("_word"), bit.alias("_bit")).selectExpr("_word", "shiftleft(1L, _bit) AS _bits")
+    empty = df.sparkSession.range(slots >> 6).selectExpr("id AS _word", "0L AS _bits")
+    words = marks.unionByName(empty).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    found = words.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).alias("_words")).select("_words._bits")
+    return df.where(F.getbit(F.get(found.scalar(), word.cast("int")), bit) == 1)
+
+
 def _instant(value: datetime) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'")
 
