@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import normalize_categories
 from ..job import JobReport, first_rows, run_job
-from ..operators import Anchor, PlanLimits, key_audit, members_of, next_in_key, shared_folder, within_anchor
+from ..operators import Anchor, PlanLimits, key_audit, members_of, next_in_key, shared_folder, staged, within_anchor
 from ..plans import cohort as c
 from ..plans import features as f
 from ..plans.extraction import Extraction, extract
@@ -110,8 +110,10 @@ class _Study:
     def stored(self) -> str:
         """All clinical tables written as text columns, to be read back with casts."""
         path = self.scratch
+        # every event table is written from one join
+        tables = clinical_tables(self.spark, self.sf_dir, f"{path}-views")
         for name in SOURCE_SCHEMAS:
-            rows = getattr(self.tables, name)
+            rows = getattr(tables, name)
             text = rows.select(*[F.col(c).cast("string").alias(c.upper()) for c in rows.columns])
             text.write.parquet(f"{path}/{name}.parquet")
         return path
@@ -259,8 +261,9 @@ def result_row_counts(s: _Study) -> DataFrame:
 def stored_tables(s: _Study) -> DataFrame:
     """Cohort and features from tables that were stored as text."""
     t = ClinicalTables.from_parquet(s.spark, s.stored)
-    selected = c.select_cohort(c.index_admissions(t.admissions, t.patients, s.subjects, s.listed))
-    anchor = Anchor(selected.select(*f.VISIT_KEYS, "admittime"), max_rows=s.listed)
+    index = staged(c.index_admissions(t.admissions, t.patients, s.subjects, s.listed), s.scratch, "index")
+    selected = c.select_cohort(index)
+    anchor = Anchor.counted(selected.select(*f.VISIT_KEYS, "admittime"))
     wide = f.add_all_features(c.cohort_columns(selected), t, anchor)
     # ids were stored as text, so they come back as wide as the declared columns
     return wide.withColumns({key: F.col(key).cast("bigint") for key in f.VISIT_KEYS})

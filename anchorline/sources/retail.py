@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.staging import staged, stored_bytes
 from .tables import ClinicalTables
 
 INFUSION_ITEMS = [221906, 30047, 222168, 30131, 221289, 221668, 999, 998]
@@ -26,6 +27,13 @@ LAB_ITEMS = [
 ]
 PROCEDURE_ITEMS = [225802, 225803, 225441, 999]
 VISIT = ["o_custkey AS subject_id", "l_orderkey AS hadm_id"]
+LINE_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus",
+]
+# Stored bytes of line items (some 300,000 rows) that one task of their join takes, and
+# the number of tasks up to which the session's partitions do.
+TASK_BYTES = 4 << 20
+FEW_TASKS = 8
 
 
 # Declared, so that opening a table starts no job to look into its files.
@@ -206,7 +214,11 @@ _EVENTS = {
 }
 
 
-def clinical_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
+def clinical_tables(spark: SparkSession, sf_dir: str, folder: str | None = None) -> ClinicalTables:
+    """The ten tables.  With ``folder`` the join behind the event tables is written there once.
+
+    A reader of several event tables otherwise joins the line items once for each.
+    """
     opened: dict[str, DataFrame] = {}
 
     def once(name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -220,7 +232,13 @@ def clinical_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
     def lines() -> DataFrame:
         """Line items with the customer and date of their order."""
         orders = source("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey", "o_orderdate")
-        return source("lineitem").join(orders, "l_orderkey")
+        rows = source("lineitem").select(*LINE_COLUMNS)
+        # sorted rows of a task grow with the table if the number of tasks is fixed
+        tasks = -(-stored_bytes(spark, f"{sf_dir}/lineitem.parquet") // TASK_BYTES)
+        if tasks > FEW_TASKS:
+            rows, orders = (side.repartition(tasks, "l_orderkey") for side in (rows, orders))
+        joined = rows.join(orders, "l_orderkey")
+        return joined if folder is None else staged(joined, folder, "lines")
 
     def open_table(name: str) -> DataFrame:
         if name == "admissions":
