@@ -16,8 +16,9 @@ resulting table says which rank of which length goes where; Spark ranks the
 pieces within each length (salted, so that a length that holds most pieces is
 ranked in bounded parts) and looks their places up.
 
-Texts are tokenised in chunks between blanks and line feeds, each distinct
-chunk once per task: this tokenizer never joins characters across them.
+Texts are tokenised in chunks between blanks and line feeds, and between a letter
+and ASCII punctuation behind it: this tokenizer never joins characters across
+them.  Each distinct chunk is tokenised once as long as a worker remembers it.
 
 Defined results: a NULL text is the separator alone, as the empty text;
 repeated rows are packed once each; an empty table gives no rows; other columns
@@ -26,10 +27,11 @@ are ignored.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, filterfalse
+from itertools import compress, pairwise
 from operator import add, not_
 from zlib import crc32
 
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, slices, stage
+from .common import LOWER, byte_class, record_batch, slices, stage
 from .sharding import numbered
 
 CAPACITY = 2048
@@ -51,8 +53,15 @@ WORD_END = "</w>"
 BEHIND = ".,;:!?"
 #: the one letter that Python lowers by its place in the word
 CAPITAL_SIGMA = "\u03a3"
-#: Chunks a worker remembers; its memory is emptied when there are more.
-REMEMBERED = 800_000
+#: Chunks a worker remembers, some fifty megabytes; its memory is emptied when there are more.
+REMEMBERED = 200_000
+#: Chunks that are looked up at a time.
+CHUNKS_AT_ONCE = 1 << 17
+_SMALL = byte_class(b"az")
+_PUNCTUATION = byte_class(b"\x21\x2f\x3a\x40\x5b\x60\x7b\x7e")
+_BREAK = byte_class(b"  \n\n")
+#: second bytes of the letters from U+00C0 to U+00FF, without the two signs among them
+_LATIN = byte_class(b"\x80\x96\x98\xb6\xb8\xbf")
 SALTS = 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -86,6 +95,8 @@ class ChunkTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a task has one core; further threads cost memory and CPU seconds
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -94,13 +105,13 @@ class ChunkTokenizer:
 
     def forget(self) -> None:
         self.known: dict[bytes, bytes] = {b"": b""}
-        self.words: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in encoded]
 
-    def learn_words(self, words: list[str]) -> None:
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        known: dict[str, bytes] = {}
         groups = [words[at : at + 500] for at in range(0, len(words), 500)]
         joined = self.tokenizer.encode_batch_fast([" ".join(some) for some in groups], add_special_tokens=False)
         for some, one in zip(groups, joined, strict=True):
@@ -111,7 +122,8 @@ class ChunkTokenizer:
                 found = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             else:
                 found = self.whole(some)
-            self.words.update(zip(some, found, strict=True))
+            known.update(zip(some, found, strict=True))
+        return known
 
     def learn(self, chunks: list[bytes]) -> None:
         texts = [chunk.decode() for chunk in chunks]
@@ -119,27 +131,69 @@ class ChunkTokenizer:
         lows = list(map(str.lower, cores))
         plain = [low.isalpha() and CAPITAL_SIGMA not in core for low, core in zip(lows, cores, strict=True)]
         tails = [text[len(core) :] for text, core in zip(texts, cores, strict=True)]
-        behind = list(set(compress(tails, plain)) - self.words.keys())
-        self.words.update(zip(behind, self.whole(behind), strict=True))
-        self.learn_words(list(set(compress(lows, plain)) - self.words.keys()))
-        found = map(add, map(self.words.get, compress(lows, plain)), map(self.words.get, compress(tails, plain)))
+        behind = list(set(compress(tails, plain)))
+        tail_ids = dict(zip(behind, self.whole(behind), strict=True))
+        word_ids = self.words(list(set(compress(lows, plain))))
+        found = map(add, map(word_ids.get, compress(lows, plain)), map(tail_ids.get, compress(tails, plain)))
         self.known.update(zip(compress(chunks, plain), found, strict=True))
         other = list(map(not_, plain))
         self.known.update(zip(compress(chunks, other), self.whole(list(compress(texts, other))), strict=True))
 
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+    def looked_up(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks, one after the other, and how many each has."""
+        coded = chunks.dictionary_encode()
+        _, bounds, raw = coded.dictionary.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[: len(coded.dictionary) + 1].tolist()
+        raw = raw.to_pybytes()
+        distinct = [raw[a:b] for a, b in pairwise(bounds)]
         if len(self.known) > REMEMBERED:
             self.forget()
-        # A-Z are lowered here, unless that could write the name of a special token
-        texts = [text if b"<|" in text else text.lower() for text in texts]
-        split = [text.replace(b"\n", b" ").split(b" ") for text in texts]
-        new: set[bytes] = set()
-        for chunks in split:
-            new.update(filterfalse(self.known.__contains__, chunks))
-        if new:
-            self.learn(list(new))
-        for chunks in split:
-            yield b"".join(map(self.known.__getitem__, chunks))
+        found = list(map(self.known.get, distinct))
+        if new := [chunk for chunk, ids in zip(distinct, found, strict=True) if ids is None]:
+            self.learn(new)
+            found = list(map(self.known.__getitem__, distinct))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(counts) - counts
+        order = coded.indices.to_numpy()
+        each = counts[order]
+        at = np.repeat(starts[order] - (np.cumsum(each) - each), each)
+        at += np.arange(len(at))
+        return flat[at], each
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        raw = b"\n".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        low = LOWER[data]
+        letter = _SMALL[low]
+        letter[1:] |= _LATIN[low[1:]] & (low[:-1] == 0xC3)
+        cut = np.zeros(len(low), bool)
+        cut[1:] = letter[:-1] & _PUNCTUATION[low[1:]]
+        if b"<|" in raw:  # what could be or become the name of a special token stays as it is
+            for text, end in zip(texts, ends.tolist(), strict=True):
+                if b"<|" in text:
+                    low[end - len(text) : end] = data[end - len(text) : end]
+                    cut[end - len(text) : end] = False
+        gap = _BREAK[low]
+        stops = np.append(np.flatnonzero(gap | cut), len(low))  # every chunk's end
+        bounds = np.searchsorted(stops, ends)  # the last chunk of every text
+        offsets = np.append(0, stops)
+        offsets[2:] -= np.cumsum(gap[stops[:-1]])
+        shown = pa.py_buffer(low[~gap])
+        parts, counts = [], []
+        for at in range(0, len(stops), CHUNKS_AT_ONCE):
+            some = offsets[at : at + CHUNKS_AT_ONCE + 1]
+            chunks = pa.Array.from_buffers(pa.large_binary(), len(some) - 1, [None, pa.py_buffer(some), shown])
+            found, each = self.looked_up(chunks)
+            parts.append(found.tobytes())
+            counts.append(each)
+        whole = b"".join(parts)
+        places = 4 * np.cumsum(np.concatenate(counts))
+        last = 0
+        for end in places[bounds].tolist():
+            yield whole[last:end]
+            last = end
 
 
 @lru_cache(maxsize=1)

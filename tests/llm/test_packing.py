@@ -56,6 +56,31 @@ def test_chunks_are_tokenised_as_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_are_looked_up_in_steps(monkeypatch):
+    monkeypatch.setattr(op, "CHUNKS_AT_ONCE", 3)
+    monkeypatch.setattr(op, "REMEMBERED", 4)
+    odd = ["", "naïve,b(c)[d] é!à? ×.÷,ñ;\u0301", "", " ", "x<|endoftext|>y,Z <|END.", "don't, 'S,a'LL;", "\n\nlast…,"]
+    tokenizer = tokenizers.Tokenizer.from_file(op.vocabulary_path())
+    chunked = op.ChunkTokenizer(op.vocabulary_path())
+    for _ in range(2):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in chunked.ids([t.encode() for t in odd])]
+        assert got == [tokenizer.encode(text, add_special_tokens=False).ids for text in odd]
+        assert len(chunked.known) <= 4 + 1 + 3
+    assert list(chunked.ids([])) == []
+    assert list(chunked.ids([b""])) == [b""]
+
+
+def test_punctuation_does_not_multiply_what_a_worker_remembers():
+    words = ["ab" * n + end for n in range(1, 30) for end in ("c", "é")]
+    marks = [",", ";", "!!", "***", "(", "&c"]
+    chunked = op.ChunkTokenizer(op.vocabulary_path())
+    text = " ".join(word + mark for word in words for mark in ["", *marks])
+    tokenizer = tokenizers.Tokenizer.from_file(op.vocabulary_path())
+    assert np.frombuffer(*chunked.ids([text.encode()]), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    remembered = sum(len(found) for found in vars(chunked).values() if isinstance(found, dict))
+    assert remembered <= 1 + len(words) + len(marks)  # one per word and mark before, and the words once more
+
+
 def test_two_smaller_pieces_replace_the_smallest():
     # greedy: 6, then 3 fits best and 1 is left over; 2 + 2 fill the gap exactly
     assert op.best_two_fit({6: 1, 3: 1, 2: 2}, 10)[0] == ([6, 2, 2], 1)
