@@ -33,3 +33,13 @@ def test_batches_are_bounded_by_bytes(spark):
     got = op.keyed_text(docs).mapInArrow(sizes, "n long, size long").collect()
     assert sum(r.n for r in got) == 3000
     assert max(r.size for r in got) < 1.1 * op.BATCH_BYTES
+
+
+def test_a_worker_gives_unused_memory_back_after_its_task(monkeypatch):
+    calls = []
+    monkeypatch.setattr(op, "_trim", lambda: calls.append)
+    batch = pa.record_batch({"text": ["a", None, "b"]})
+    assert [len(part) for part in op.slices(iter([batch, batch]))] == [3, 3]
+    assert calls == [0]
+    monkeypatch.setattr(op, "_trim", lambda: None)  # a C library without it
+    assert [len(part) for part in op.slices(iter([batch]))] == [3]
