@@ -82,13 +82,14 @@ def write_clustered(
 
     Without ``files`` Spark's shuffle partitions decide.  All columns and rows are
     kept as they are; rows without a value in ``by`` lie at its beginning.
+    Of each pair of bits that of the first column counts more, so its values lie in fewer runs.
     """
     cuts = quantile_cuts(events, by, bits)
     names = {c.lower() for c in events.columns}
     key = "_z"
     while key in names:
         key += "_"
-    placed = events.withColumn(key, interleaved([step_of(as_number(events, n), cuts[n]) for n in by], bits))
+    placed = events.withColumn(key, interleaved([step_of(as_number(events, n), cuts[n]) for n in reversed(by)], bits))
     order = [F.col(key), F.xxhash64(visit)]
     dealt = placed.repartitionByRange(*order) if files is None else placed.repartitionByRange(files, *order)
     (
