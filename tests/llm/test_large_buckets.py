@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from conftest import frame, prose
 from test_substrings import brute
+from test_suffixes import brute as brute_bytes
 
 from anchorline.llm import substrings, suffixes, superkmers
 
@@ -47,3 +48,9 @@ def test_divided_buckets_against_brute_force(spark, rows, monkeypatch):
     limited = lambda docs, scheme: superkmers.repeats(docs, scheme, limit=20)
     monkeypatch.setattr(substrings, "repeats", limited)
     assert Counter(map(tuple, substrings.report(frame(spark, rows)).collect())) == brute(rows)
+
+
+def test_divided_buckets_of_bytes_against_brute_force(spark, rows, monkeypatch):
+    limited = lambda docs, scheme: superkmers.repeats(docs, scheme, limit=20)
+    monkeypatch.setattr(suffixes, "repeats", limited)
+    assert Counter(map(tuple, suffixes.report(frame(spark, rows)).collect())) == brute_bytes(rows)

@@ -39,6 +39,14 @@ def test_an_empty_table(no_docs):
     assert op.report(no_docs).collect() == []
 
 
+def test_passages_of_400_bytes_go_from_every_holder_and_shorter_ones_stay(spark):
+    rng = random.Random(5)
+    short, long = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (399, 400))
+    rows = [(1, f"x{short}x"), (2, f"y{short}y"), (3, f"x{long}x"), (4, f"y{long}y")]
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in op.report(frame(spark, rows)).collect()}
+    assert found == {1: (0, 0), 2: (0, 0), 3: (400, 1), 4: (400, 1)}
+
+
 SMALL = Scheme(window=9, k=4, words=False)
 
 
